@@ -15,7 +15,6 @@ from tagspark import fixed
 from tagspark.functions.codes import code_prefixes
 from tagspark.functions.text import clean_words, word_ngrams
 
-_N = F.lit(1)
 
 
 def _total(counts: DataFrame, col: str = "n") -> Column:
@@ -29,12 +28,12 @@ def collect_codes(tags: DataFrame, id: str = "org_id", out: str = "codes") -> Da
 
 def group_size(df: DataFrame, cols: Sequence[str], out: str = "n") -> DataFrame:
     """Rows per combination; rows without one are left out."""
-    return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(_N).alias(out))
+    return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias(out))
 
 
 def value_share(df: DataFrame, col: str, normalise: bool = False) -> DataFrame:
     """Rows per value that is not null, as counts or as shares."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(_N).alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if not normalise:
         return counts
     return counts.select(col, (F.col("n") / _total(counts)).alias("share"))
@@ -50,7 +49,7 @@ def distribution(
         .where(F.col(field).isNotNull())
         .join(members, id, "left")
         .groupBy(field)
-        .agg(F.count(_N).alias("all_n"), F.count("_in").alias("category_n"))
+        .agg(F.count(F.lit(1)).alias("all_n"), F.count("_in").alias("category_n"))
     )
     rolled = counts.rollup(field).agg(
         F.sum("all_n").alias("all_n"),
@@ -98,12 +97,12 @@ def category_report(
         return cells.select(*keys, "_c.field", "_c.value").where(F.col("value").isNotNull())
 
     rows = records.select(id, *fields)
-    all_n = unpivot(rows).groupBy("field", "value").agg(F.count(_N).alias("all_n"))
+    all_n = unpivot(rows).groupBy("field", "value").agg(F.count(F.lit(1)).alias("all_n"))
     members = prefix_match(tags, taxonomy, id).join(rows, id)
     in_code = (
         unpivot(members, "code")
         .groupBy("code", "field", "value")
-        .agg(F.count(_N).alias("category_n"))
+        .agg(F.count(F.lit(1)).alias("category_n"))
     )
     # Every code gets every value, also with no record: the list of values is
     # one small row, spread by explode.
@@ -147,7 +146,7 @@ def crosstab_share(
     counts = (
         df.where(F.col(a).isNotNull() & F.col(b).isin(list(b_values)))
         .groupBy(a, b)
-        .agg(F.count(_N).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     whole = F.sum("_n").over(Window.partitionBy(a if by == "row" else b))
     share = counts.withColumn("_p", F.col("_n") / whole * 100)
@@ -172,7 +171,7 @@ def crosstab_margins(
     counts = methods.groupBy("code").agg(
         F.count_if("_direct").alias("direct"),
         F.count_if(~F.col("_direct")).alias("indirect"),
-        F.count(_N).alias("total"),
+        F.count(F.lit(1)).alias("total"),
     )
     n = F.lit(n_records) if isinstance(n_records, int) else n_records
     named = counts.join(taxonomy.select("code", "tag"), "code")
@@ -183,7 +182,7 @@ def crosstab_margins(
 def cap_bucket(counts: DataFrame, cap: int = 15, col: str = "n_codes") -> DataFrame:
     """Histogram of a count, large ones in one bucket, with percentages."""
     bucket = F.when(F.col(col) >= cap, f"{cap} or over").otherwise(F.col(col).cast("string"))
-    grouped = counts.groupBy(bucket.alias("bucket")).agg(F.count(_N).alias("n"))
+    grouped = counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return grouped.withColumn("percent", F.round(F.col("n") / _total(grouped) * 100, 1))
 
 
@@ -230,7 +229,7 @@ def hist(
     x = F.col(value)
     number = F.least(F.width_bucket(x, F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)), F.lit(bins))
     rows = df.where((x >= lo) & (x <= hi)).select(by, number.alias("bin"))
-    return rows.groupBy(by, "bin").agg(F.count(_N).alias("n"))
+    return rows.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bin2d(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
@@ -238,7 +237,7 @@ def bin2d(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> Data
     cells = df.select(
         F.floor(F.col(x) / x_width).alias("x_bin"), F.floor(F.col(y) / y_width).alias("y_bin")
     )
-    return cells.groupBy("x_bin", "y_bin").agg(F.count(_N).alias("n"))
+    return cells.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def actual_vs_predicted(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -274,8 +273,8 @@ def taxonomy_levels(taxonomy: DataFrame, level: str = "level") -> DataFrame:
 
 def label_support(df: DataFrame, label: str) -> DataFrame:
     """Number of classes, and size of the smallest one."""
-    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(_N).alias("_n"))
-    return sizes.agg(F.count(_N).alias("n_labels"), F.min("_n").alias("smallest"))
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_labels"), F.min("_n").alias("smallest"))
 
 
 def can_stratify(df: DataFrame, label: str) -> bool:
@@ -299,7 +298,7 @@ def label_terms(
         gold.select(codes, clean_words(F.col(text)).alias("_w"))
         .select(codes, F.explode(grams).alias("term"))
         .groupBy(codes, "term")
-        .agg(F.count(_N).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .select(F.explode(codes).alias("code"), "term", "_n")
         .groupBy("code", "term")
         .agg(F.sum("_n").alias("n"))
@@ -325,9 +324,9 @@ def coder_agreement(
 
     ``one`` means that no two agree, ``all`` that everybody does.
     """
-    votes = codings.groupBy(item, label).agg(F.count(_N).alias("_v"))
+    votes = codings.groupBy(item, label).agg(F.count(F.lit(1)).alias("_v"))
     items = votes.groupBy(item).agg(F.max("_v").alias("agreeing"), F.sum("_v").alias("coders"))
-    counts = items.groupBy("coders", "agreeing").agg(F.count(_N).alias("items"))
+    counts = items.groupBy("coders", "agreeing").agg(F.count(F.lit(1)).alias("items"))
     share = F.col("items") / F.sum("items").over(Window.partitionBy("coders"))
     verdict = (
         F.when(F.col("agreeing") == F.col("coders"), "all")
@@ -354,7 +353,7 @@ def accuracy_by_group(
     )
     rows = df.select(F.explode(names).alias("group"), *flags)
     return rows.groupBy("group").agg(
-        F.count(_N).alias("rows"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags]
+        F.count(F.lit(1)).alias("rows"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags]
     )
 
 
