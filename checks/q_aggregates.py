@@ -202,11 +202,11 @@ def per_label_prf(spark, sf):
     return rows6(metrics.per_label_prf(eval_rows(spark, sf)), "precision", "recall", "f1")
 
 
-@query("multiclass_metrics", """SELECT (SELECT count(*) FROM pairs) AS rows, (SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) FROM pairs) AS accuracy,
+@query("multiclass_metrics", """SELECT (SELECT count(*) FROM class_pairs) AS rows, (SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) FROM class_pairs) AS accuracy,
   round(avg(pr), 6) AS precision_macro, round(avg(re), 6) AS recall_macro, round(avg(f), 6) AS f1_macro, round(sum(f * nt) / sum(nt), 6) AS f1_weighted FROM
   (SELECT nt, CASE WHEN np = 0 THEN 0.0 ELSE tp * 1.0 / np END AS pr, CASE WHEN nt = 0 THEN 0.0 ELSE tp * 1.0 / nt END AS re, 2.0 * tp / (nt + np) AS f FROM
-    (SELECT l.c, (SELECT count(*) FROM pairs WHERE y = l.c AND p = l.c) AS tp, (SELECT count(*) FROM pairs WHERE y = l.c) AS nt,
-      (SELECT count(*) FROM pairs WHERE p = l.c) AS np FROM (SELECT y AS c FROM pairs UNION SELECT p FROM pairs) l))""", ("class_pairs",))
+    (SELECT l.c, (SELECT count(*) FROM class_pairs WHERE y = l.c AND p = l.c) AS tp, (SELECT count(*) FROM class_pairs WHERE y = l.c) AS nt,
+      (SELECT count(*) FROM class_pairs WHERE p = l.c) AS np FROM (SELECT y AS c FROM class_pairs UNION SELECT p FROM class_pairs) l))""", ("class_pairs",))
 def multiclass_metrics(spark, sf):
     out = metrics.multiclass_metrics(class_predictions(spark, sf), "class_code", "predicted")
     return rows6(out, "accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")
@@ -254,7 +254,7 @@ def _label_terms_sql() -> str:
     return head + f""",
 cw AS (SELECT org_id, string_split({clean_sql('corpus')}, ' ') AS w FROM gold),
 grams AS (SELECT org_id, unnest(w) AS term FROM cw UNION ALL
-  SELECT org_id, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM cw)
+  SELECT org_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cw)
 SELECT code, term, n FROM (SELECT t.code, g.term, count(*) AS n, row_number() OVER (PARTITION BY t.code ORDER BY count(*) DESC, g.term) AS rn
   FROM grams g JOIN truth t ON g.org_id = t.org_id WHERE g.term <> '' GROUP BY t.code, g.term) WHERE rn <= 20"""
 
@@ -281,7 +281,7 @@ def bulk_exclude(spark, sf):
 
 
 @query("coder_agreement", """SELECT coders, agreeing, CASE WHEN agreeing = coders THEN 'all' WHEN agreeing = 1 THEN 'none' ELSE 'some' END AS agreement,
-  count(*) AS items, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY coders), 6) AS share FROM
-  (SELECT conv_id, max(v) AS agreeing, sum(v)::BIGINT AS coders FROM (SELECT conv_id, role, count(*) AS v FROM conversations GROUP BY ALL) GROUP BY 1) GROUP BY ALL""")
+  items, round(items * 1.0 / sum(items) OVER (PARTITION BY coders), 6) AS share FROM (SELECT coders, agreeing, count(*) AS items FROM
+  (SELECT conv_id, max(v) AS agreeing, sum(v)::BIGINT AS coders FROM (SELECT conv_id, role, count(*) AS v FROM conversations GROUP BY ALL) GROUP BY 1) GROUP BY ALL)""")
 def coder_agreement(spark, sf):
     return rows6(ag.coder_agreement(table(spark, sf, "conversations"), "conv_id", "role"), "share")

@@ -22,7 +22,7 @@ from tagspark.operators import aggregates, ranking, registry, text_ops
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.stopwords()) + "]"
 _CLEAN = r"""array_to_string(list_filter(string_split(
   regexp_replace(regexp_replace(lower({0}), '[/(){{}}\[\]|@,;]', ' ', 'g'), '[^0-9a-z #+_]', '', 'g'), ' '),
-  x -> x <> '' AND NOT list_contains({1}, x)), ' ')"""
+  lambda x: x <> '' AND NOT list_contains({1}, x)), ' ')"""
 
 
 def clean_sql(col: str) -> str:
@@ -136,7 +136,7 @@ def word_tokens(spark, sf):
 
 @query("word_ngrams", """SELECT gram, count(*) AS n FROM (
   SELECT unnest(w) AS gram FROM (SELECT regexp_extract_all(lower(corpus), '[\\p{L}\\p{N}_]{2,}') AS w FROM corpus)
-  UNION ALL SELECT unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))
+  UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
   FROM (SELECT regexp_extract_all(lower(corpus), '[\\p{L}\\p{N}_]{2,}') AS w FROM corpus)) GROUP BY gram""", ("corpus",))
 def word_ngrams(spark, sf):
     toks = corpus(spark, sf).select(tx.word_tokens(F.col("corpus")).alias("w"))
@@ -145,8 +145,8 @@ def word_ngrams(spark, sf):
 
 
 @query("char_wb_ngrams", r"""SELECT gram, count(*) AS n FROM (SELECT unnest(flatten(list_transform(range(3, greatest(least(length(w), 5), 3) + 1),
-    n -> list_transform(range(1, greatest(length(w) - n + 1, 1) + 1), i -> substr(w, i, n))))) AS gram FROM
-  (SELECT ' ' || unnest(list_filter(regexp_split_to_array(lower(corpus), '[\t-\r\x{1c}-\x{1f} \x{85}\p{Z}]+'), x -> x <> '')) || ' ' AS w FROM corpus))
+    lambda n: list_transform(range(1, greatest(length(w) - n + 1, 1) + 1), lambda i: substr(w, i, n))))) AS gram FROM
+  (SELECT ' ' || unnest(list_filter(regexp_split_to_array(lower(corpus), '[\t-\r\x{1c}-\x{1f} \x{85}\p{Z}]+'), lambda x: x <> '')) || ' ' AS w FROM corpus))
   GROUP BY gram""", ("corpus",))
 def char_wb_ngrams(spark, sf):
     grams = corpus(spark, sf).select(F.explode(tx.char_wb_ngrams(F.col("corpus"), 5)).alias("gram"))

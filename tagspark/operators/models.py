@@ -1,7 +1,7 @@
 """Fitted text models.
 
 Training text is hand-labelled, hence small beside the records; features stay
-sparse vectors made on the JVM side, fits run as Spark ML jobs, and only the
+sparse vectors made on the JVM side, fits run as distributed jobs, and only the
 fitted coefficients reach the driver. Applying a model is a narrow pass: the
 JVM makes the vectors, one Arrow batch at a time is multiplied by the
 coefficient matrix, and nothing is shuffled.
@@ -10,13 +10,11 @@ coefficient matrix, and nothing is shuffled.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -43,11 +41,10 @@ from tagspark import fixed
 from tagspark.functions.codes import split_codes
 from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, word_tokens
 from tagspark.operators.decide import decided
+from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
 
-FEATURES = "features"
 # Largest coefficient matrix that is sent to every executor, in bytes.
 MAX_MATRIX_BYTES = 1 << 30
-_BLOCK_VALUES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -224,52 +221,6 @@ class OvrModel:
         )
 
 
-def _arrow_vectors(column):
-    """A batch of ML vectors as flat arrays: indices, values, row offsets."""
-    import pyarrow as pa
-
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    kinds = column.field("type").to_numpy(zero_copy_only=False)
-    values = column.field("values")
-    lengths = np.asarray(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    if (kinds == 0).all():
-        index = column.field("indices").flatten().to_numpy(zero_copy_only=False)
-    else:
-        # A vector may be stored dense when that is shorter.
-        lists = column.field("indices").to_pylist()
-        index = np.concatenate(
-            [np.arange(n) if k == 1 else np.asarray(ix, dtype=int)
-             for k, ix, n in zip(kinds, lists, lengths, strict=True)] or [np.empty(0, dtype=int)]
-        )
-    return index.astype(np.int64), flat, offsets
-
-
-def _margins(index, flat, offsets, weights, bias):
-    """Sparse rows times a terms x labels matrix, in blocks of bounded size."""
-    n, k = len(offsets) - 1, weights.shape[1]
-    out = np.tile(bias, (n, 1))
-    step = max(1, _BLOCK_VALUES // max(1, k))
-    start = 0
-    while start < n:
-        stop = int(np.searchsorted(offsets, offsets[start] + step, side="right")) - 1
-        stop = min(n, max(start + 1, stop))
-        lo, hi = offsets[start], offsets[stop]
-        if hi - lo > step:
-            # One very long row: add it up piece by piece.
-            for a in range(lo, hi, step):
-                b = min(hi, a + step)
-                out[start] += flat[a:b] @ weights[index[a:b]]
-        elif hi > lo:
-            parts = weights[index[lo:hi]] * flat[lo:hi, None]
-            filled = np.flatnonzero(np.diff(offsets[start : stop + 1]) > 0) + start
-            out[filled] += np.add.reduceat(parts, offsets[filled] - lo, axis=0)
-        start = stop
-    return out
-
-
 def _score_vectors(vectors: DataFrame, keep: Sequence[str], coef, intercept, link: str) -> DataFrame:
     """Scores as one array per row, by a broadcast matrix of checked size."""
     if coef.nbytes > MAX_MATRIX_BYTES:
@@ -289,7 +240,7 @@ def _score_vectors(vectors: DataFrame, keep: Sequence[str], coef, intercept, lin
         weights, bias = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(FEATURES)
-            scores = _margins(*_arrow_vectors(batch.column(at)), weights, bias)
+            scores = margins(*arrow_vectors(batch.column(at)), weights, bias)
             if link == "sigmoid":
                 scores = 1.0 / (1.0 + np.exp(-scores))
             elif link == "clipped":
@@ -307,179 +258,34 @@ def _score_vectors(vectors: DataFrame, keep: Sequence[str], coef, intercept, lin
 
 # --- fitting -----------------------------------------------------------------
 
-def label_weight(n: int, n_label: int, mode: str) -> tuple[float, float]:
-    """Weight of positive and negative rows in a label's own model."""
-    if mode == "none":
-        return 1.0, 1.0
-    return n / (2.0 * n_label), n / (2.0 * (n - n_label))
-
-
-def _binary_fits(features: DataFrame, sizes: dict[str, int], n: int, weights: str, make, parallel: int):
-    """One binary fit per label, ``parallel`` at a time, over kept features."""
-
-    def one(label: str):
-        size = sizes[label]
-        if size == n:
-            return None, math.inf
-        pos, neg = label_weight(n, size, weights)
-        y = F.array_contains("labels", label)
-        rows = features.select(
-            FEATURES,
-            y.cast("double").alias("label"),
-            F.when(y, pos).otherwise(neg).alias("weight"),
-        )
-        fitted = make(n if weights == "none" else size * pos + (n - size) * neg).fit(rows)
-        return fitted.coefficients.toArray(), float(fitted.intercept)
-
-    with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(one, sorted(sizes)))
-
-
-def _label_sizes(features: DataFrame) -> tuple[dict[str, int], int]:
-    """Rows per label (as many as the taxonomy has codes), and all rows."""
-    rows = (
-        features.select(F.explode("labels").alias("label"))
-        .groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    return {r["label"]: r["n"] for r in rows}, features.count()
-
-
-def _stacked(fits, width: int) -> tuple[np.ndarray, np.ndarray]:
-    coef = np.array([np.zeros(width) if c is None else c for c, _ in fits])
-    # A label that every row has is always predicted.
-    return coef, np.array([1e9 if math.isinf(b) else b for _, b in fits])
-
-
-def fit_ovr_logistic(features: DataFrame, c: float, weights: str = "none", parallel: int = 8):
+def fit_ovr_logistic(features: DataFrame, c: float, weights: str = "none"):
     """(labels, coefficients, intercepts): logistic regression per label.
 
-    Minimising ``C * sum(loss) + |w|^2 / 2`` equals Spark's mean loss with
-    ``regParam = 1 / (C * sum of weights)``.
+    Minimising ``C * sum(loss) + |w|^2 / 2`` is the same as minimising the mean
+    loss plus ``|w|^2 / (2 * C * n)``.
     """
-    sizes, n = _label_sizes(features)
-
-    def make(total: float):
-        return LogisticRegression(
-            labelCol="label", weightCol="weight", family="binomial", standardization=False,
-            elasticNetParam=0.0, regParam=1.0 / (c * total), maxIter=1000, tol=1e-6,
-        )
-
-    fits = _binary_fits(features, sizes, n, weights, make, parallel)
-    return sorted(sizes), *_stacked(fits, _width(features))
-
-
-def fit_ovr_svc(features: DataFrame, c: float, weights: str = "none", parallel: int = 8):
-    """The same with a linear support vector machine (hinge loss)."""
-    sizes, n = _label_sizes(features)
-
-    def make(total: float):
-        return LinearSVC(
-            labelCol="label", weightCol="weight", standardization=False,
-            regParam=1.0 / (c * total), maxIter=200, tol=1e-5,
-        )
-
-    fits = _binary_fits(features, sizes, n, weights, make, parallel)
-    return sorted(sizes), *_stacked(fits, _width(features))
+    return fit_linear(features, "logistic", 1.0 / (c * features.count()), weights)
 
 
-def fit_ovr_sgd(
-    features: DataFrame, loss: str, alpha: float, weights: str = "none",
-    steps: int = 100, parallel: int = 8,
-):
-    """``log_loss`` or ``modified_huber`` with an L2 penalty of ``alpha``."""
-    if loss == "modified_huber":
-        return _fit_modified_huber(features, alpha, weights, steps)
-    sizes, n = _label_sizes(features)
-
-    def make(total: float):
-        return LogisticRegression(
-            labelCol="label", weightCol="weight", family="binomial", standardization=False,
-            elasticNetParam=0.0, regParam=alpha * n / total, maxIter=1000, tol=1e-6,
-        )
+def fit_ovr_svc(features: DataFrame, c: float, weights: str = "none"):
+    """Linear support vector machine per label: squared hinge, intercept
+    regularised with the other coefficients."""
+    l2 = 1.0 / (c * features.count())
+    return fit_linear(features, "squared_hinge", l2, weights, regularise_bias=True)
 
-    fits = _binary_fits(features, sizes, n, weights, make, parallel)
-    return sorted(sizes), *_stacked(fits, _width(features))
 
+def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "none"):
+    """``log_loss`` or ``modified_huber`` with an L2 penalty of ``alpha``.
 
-def _width(features: DataFrame) -> int:
-    row = features.select(FEATURES).first()
-    return int(row[0].size) if row else 0
-
-
-def _fit_modified_huber(features: DataFrame, alpha: float, weights: str, steps: int):
-    """Accelerated full-batch gradient steps for all labels at once.
-
-    Every task adds up the gradient of its rows; the sums are combined in a
-    grouped aggregation per (label, term), so only coefficients reach the
-    driver. Rows have length 1 per feature part, which bounds the step size.
+    Full-batch steps reach the optimum that stochastic ones circle around.
     """
-    sizes, n = _label_sizes(features)
-    labels, width = sorted(sizes), _width(features)
-    position = {x: i for i, x in enumerate(labels)}
-    if (width + 1) * len(labels) * 8 > MAX_MATRIX_BYTES:
-        raise ValueError("too many coefficients for this fit")
-    pos, neg = np.array([label_weight(n, sizes[x], weights) for x in labels]).T
-    index_of = F.create_map(*[x for k, v in position.items() for x in (F.lit(k), F.lit(v))])
-    rows = features.select(
-        FEATURES, F.transform("labels", lambda x: index_of[x].cast("int")).alias("y")
-    )
-    sc = features.sparkSession.sparkContext
-    schema = "label int, term int, g double"
-    # Second derivative of the loss is at most 2, squared row length at most 3
-    # (two parts of length 1 and the intercept).
-    rate = 1.0 / (2.0 * 3.0 * max(pos.max(), neg.max()) + alpha)
-    w = np.zeros((len(labels), width + 1))
-    ahead, momentum = w, 1.0
-    for _ in range(steps):
-        shared = sc.broadcast((np.ascontiguousarray(ahead[:, :-1].T), ahead[:, -1].copy(), pos, neg))
-
-        def gradient(batches, shared=shared):
-            import pyarrow as pa
-
-            weights_t, bias, up, down = shared.value
-            total = np.zeros((weights_t.shape[0] + 1, weights_t.shape[1]))
-            for batch in batches:
-                index, flat, offsets = _arrow_vectors(batch.column(0))
-                p = _margins(index, flat, offsets, weights_t, bias)
-                y = np.full(p.shape, -1.0)
-                owned = batch.column(1)
-                at = np.repeat(np.arange(len(p)), np.asarray(owned.value_lengths()))
-                y[at, owned.flatten().to_numpy(zero_copy_only=False)] = 1.0
-                z = y * p
-                d = np.where(z >= 1, 0.0, np.where(z >= -1, -2.0 * y * (1.0 - z), -4.0 * y))
-                d *= np.where(y > 0, up, down)
-                row = np.repeat(np.arange(len(p)), np.diff(offsets))
-                step = max(1, _BLOCK_VALUES // max(1, d.shape[1]))
-                for a in range(0, len(row), step):
-                    part = slice(a, a + step)
-                    np.add.at(total, index[part], d[row[part]] * flat[part, None])
-                total[-1] += d.sum(axis=0)
-            term, label = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(label.astype(np.int32)), pa.array(term.astype(np.int32)),
-                 pa.array(total[term, label])],
-                ["label", "term", "g"],
-            )
-
-        sums = rows.mapInArrow(gradient, schema).groupBy("label", "term").agg(F.sum("g").alias("g"))
-        grad = np.zeros_like(w)
-        table = sums.toArrow()
-        grad[table["label"].to_numpy(), table["term"].to_numpy()] = table["g"].to_numpy()
-        grad = grad / n
-        grad[:, :-1] += alpha * ahead[:, :-1]
-        new = ahead - rate * grad
-        next_momentum = (1.0 + math.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
-        ahead = new + (momentum - 1.0) / next_momentum * (new - w)
-        w, momentum = new, next_momentum
-        shared.unpersist()
-    return labels, w[:, :-1], w[:, -1]
+    kind = {"log_loss": "logistic", "modified_huber": "modified_huber"}[loss]
+    return fit_linear(features, kind, alpha, weights, tol=1e-3)
 
 
 def train_final(
     gold: DataFrame, s: Settings, corpus: str = "corpus", truth: str = "tags",
-    id: str = "org_id", parallel: int = 8,
+    id: str = "org_id",
 ) -> OvrModel:
     """Fit the chosen settings on all labelled rows."""
     text = clean_text(F.col(corpus)) if s.clean_text else F.col(corpus)
@@ -491,13 +297,13 @@ def train_final(
     kept = keep_for_fits(pipeline.transform(tokens).select("labels", FEATURES))
     try:
         if s.model_family == "logistic":
-            fitted = fit_ovr_logistic(kept, s.model_c, s.class_weight_mode, parallel)
+            fitted = fit_ovr_logistic(kept, s.model_c, s.class_weight_mode)
             link = "sigmoid"
         elif s.model_family == "linear_svc":
-            fitted = fit_ovr_svc(kept, s.model_c, s.class_weight_mode, parallel)
+            fitted = fit_ovr_svc(kept, s.model_c, s.class_weight_mode)
             link = "margin"
         else:
-            fitted = fit_ovr_sgd(kept, s.sgd_loss, s.sgd_alpha, s.class_weight_mode, parallel=parallel)
+            fitted = fit_ovr_sgd(kept, s.sgd_loss, s.sgd_alpha, s.class_weight_mode)
             link = "sigmoid" if s.sgd_loss == "log_loss" else "clipped"
     finally:
         kept.unpersist()
@@ -563,15 +369,12 @@ _CLASS_FEATURES = Settings(clean_text=False, ngram_max=1, char_ngram_max=0, min_
 
 def classifiers(c: float = fixed.CLASS_C, max_iter: int = fixed.CLASS_MAX_ITER) -> dict:
     """Learners of the comparison that have a distributed form."""
-    svc = LinearSVC(maxIter=100, regParam=1e-3, standardization=False)
+    svc = LinearSVC(maxIter=5, regParam=1e-3, standardization=False)
     return {
         "naive_bayes": lambda n: NaiveBayes(modelType="multinomial", smoothing=1.0),
         "logistic_regression": lambda n: LogisticRegression(
             family="multinomial", standardization=False, elasticNetParam=0.0,
-            regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-6,
-        ),
-        "linear_svc": lambda n: OneVsRest(
-            classifier=LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False), parallelism=4
+            regParam=1.0 / (c * n), maxIter=max_iter, tol=1e-4,
         ),
         "sgd_hinge": lambda n: OneVsRest(classifier=svc, parallelism=4),
         "decision_tree": lambda n: DecisionTreeClassifier(maxDepth=5, seed=fixed.SEED),
@@ -611,16 +414,28 @@ def fit_class_lr(
     return fit_class(train, classifiers(c, max_iter)["logistic_regression"], corpus, label, clean)
 
 
+def fit_class_svc(
+    train: DataFrame, corpus: str = "corpus", label: str = "class_code", c: float = 1.0
+) -> OvrModel:
+    """Linear support vector machine, one scorer per class; the best one wins."""
+    s = Settings(model_family="linear_svc", model_c=c, min_df=1)
+    return train_final(train.where(F.col(label).isNotNull()), s, corpus, label)
+
+
 def model_compare(
     train: DataFrame, test: DataFrame, names: Sequence[str] | None = None,
     corpus: str = "corpus", label: str = "class_code", id: str = "org_id",
 ) -> DataFrame:
     """Predictions of several learners on one split: (classifier, id, truth, class_code)."""
     available = classifiers()
+    held = test.withColumn("truth", F.col(label))
     out = None
-    for name in names or list(available):
-        model = fit_class(train, available[name], corpus, label)
-        rows = model.predict(test.withColumn("truth", F.col(label)), corpus, [id, "truth"])
+    for name in names or [*available, "linear_svc"]:
+        if name == "linear_svc":
+            ranked = fit_class_svc(train, corpus, label).ranked(held, corpus, [id, "truth"])
+            rows = ranked.withColumn("class_code", F.col("ranked")[0]["code"])
+        else:
+            rows = fit_class(train, available[name], corpus, label).predict(held, corpus, [id, "truth"])
         rows = rows.select(F.lit(name).alias("classifier"), id, "truth", "class_code")
         out = rows if out is None else out.unionByName(rows)
     return out
