@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tagspark.functions import text as tx
 from tagspark.functions.codes import code_set, split_codes
 from tagspark.operators import features, rules
+from tagspark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,7 +148,7 @@ def mapped(col, mapping: dict):
 
 # --- records, taxonomy, tags --------------------------------------------------
 def records(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(
         F.concat(F.lit("GB-CHC-"), F.col("doc_id").cast("string")).alias("org_id"),
         F.concat_ws(" ", "source", "lang").alias("name"),

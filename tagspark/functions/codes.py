@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EMPTY = "cast(array() as array<string>)"
@@ -81,3 +81,13 @@ def round_score(col: Column, digits: int) -> Column:
 def order_key(key: Column, seed: int) -> Column:
     """Reproducible pseudo-random order of rows: md5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def explode_rows(df: DataFrame, keep: Sequence[str], items: str | Column, out: str) -> DataFrame:
+    """One row per item that is not null.
+
+    A plain ``explode`` of a column makes the optimiser add a "not empty" filter
+    below it, which would work out the column (all patterns, all tokens) twice;
+    the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(out)).where(F.col(out).isNotNull())

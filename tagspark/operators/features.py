@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagspark.functions.codes import split_codes
+from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.operators.joins import hot_key_join
 
 # Above this many coefficients the model side of a score join is salted
@@ -25,11 +25,13 @@ def term_counts(
 ) -> DataFrame:
     """``(id, term, tf, df)`` for terms found in at least ``min_df`` records."""
     counts = (
-        df.select(id, F.explode(tokens_col).alias("term"))
+        explode_rows(df, [id], tokens_col, "term")
         .groupBy(id, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    # Asking for tf keeps both uses of ``counts`` alike, so its shuffle is reused.
+    found = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    found = found.where(F.col("df") >= min_df)
     return hot_key_join(counts, found.withColumn("_n", F.col("df")), "term", "_n", ["df"], id)
 
 

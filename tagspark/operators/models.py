@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagspark import fixed
-from tagspark.functions.codes import split_codes
+from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, word_tokens
 from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
@@ -179,7 +179,7 @@ class OvrModel:
         return scored.select(*keep, F.array_sort(pairs).alias("ranked"))
 
     def scores(self, df: DataFrame, corpus: str = "corpus", id: str = "org_id") -> DataFrame:
-        rows = self.ranked(df, corpus, [id]).select(id, F.explode("ranked").alias("_s"))
+        rows = explode_rows(self.ranked(df, corpus, [id]), [id], "ranked", "_s")
         return rows.select(id, F.col("_s.code").alias("code"), (-F.col("_s.neg")).alias("score"))
 
     def predict(self, df: DataFrame, corpus: str = "corpus", keep: Sequence[str] = ("org_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.codes import code_set, split_codes, with_groups
+from tagspark.functions.codes import code_set, explode_rows, group_codes, split_codes, with_groups
 
 # Case-insensitive, with Unicode letters, digits and word edges.
 FLAGS = "(?iU)"
@@ -76,7 +76,7 @@ def tag_by_rules(
 ) -> DataFrame:
     """One row per record and code that holds."""
     sets = tag_sets(df.select(id, corpus), rules, corpus, include_groups)
-    return sets.select(id, F.explode("codes").alias("code"))
+    return explode_rows(sets, [id], "codes", "code")
 
 
 def tag_by_rules_eval(
@@ -100,8 +100,6 @@ def tag_by_rules_eval(
 
 def expand_groups(tags: DataFrame, code: str = "code") -> DataFrame:
     """Rows for a code and for its parents (see ``group_codes``)."""
-    from tagspark.functions.codes import group_codes
-
     rest = [c for c in tags.columns if c != code]
     return tags.select(*rest, F.explode(group_codes(F.col(code))).alias(code))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagspark import fixed
-from tagspark.functions.codes import band, with_groups
+from tagspark.functions.codes import band, explode_rows
 from tagspark.functions.text import flatten_newlines, regnumber_to_orgid, text_corpus
 from tagspark.operators import aggregates, decide, joins, models, ranking, registry, rules
 from tagspark.sources.readers import records_to_table
@@ -68,7 +68,7 @@ def job_tag_ovr(
 ) -> DataFrame:
     """The same with the codes of a fitted model, by its own saved settings."""
     rows = model.predict(text_corpus(records, model.settings.fields))
-    tags = rows.select("org_id", F.explode("predicted_codes").alias("code"))
+    tags = explode_rows(rows, ["org_id"], "predicted_codes", "code")
     tags = _with_manual(tags, manual, manual_mode)
     if include_groups:
         tags = rules.expand_groups(tags)
@@ -97,7 +97,7 @@ def job_tag_hybrid(
         hybrid_rule or s.hybrid_rule or "label_conf_gated_regex",
         label_conf=fixed.HYBRID_LABEL_CONFIDENCE if conf is None else conf,
     )
-    tags = rows.select("org_id", F.explode(final).alias("code"))
+    tags = explode_rows(rows, ["org_id"], final, "code")
     return _finished(_with_manual(tags, manual, manual_mode), records, taxonomy, ordered)
 
 

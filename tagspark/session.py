@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -29,3 +29,14 @@ def local_session(cores: str = "8", memory: str = "8g", **extra: str) -> SparkSe
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that would leave most of them idle.
+
+    One unsplittable file (a zipped register, a single row group) is read by one
+    task. If a scan has fewer partitions than there are cores, its rows are dealt
+    out evenly; larger tables pass unchanged. Meant for plain scans.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
