@@ -98,13 +98,13 @@ def model_compare(spark, sf):
 @query("two_step_classify")
 def two_step_classify(spark, sf):
     dev, test = ranking.split_holdout(gold(spark, sf), "org_id", 0.3, 42)
-    out = models.two_step_classify(models.keep_for_fits(dev), models.keep_for_fits(test))
+    out = models.two_step_classify(models.keep_for_fits(dev), models.keep_for_fits(test), max_iter=100)
     return metrics.multiclass_metrics(out, "truth", "class_code")
 
 
 @query("eval_class_holdout")
 def eval_class_holdout(spark, sf):
-    return workflow.eval_class_holdout(gold(spark, sf))
+    return workflow.eval_class_holdout(gold(spark, sf), max_iter=100)
 
 
 @query("eval_ovr_holdout")

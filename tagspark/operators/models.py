@@ -292,7 +292,8 @@ def train_final(
     rows = gold.select(
         id, text.alias("_text"), F.array_distinct(split_codes(F.col(truth))).alias("labels")
     )
-    tokens = _tokenised(rows, "_text", s)
+    # Counting, weighting and fitting all read the tokens: make them once.
+    tokens = keep_for_fits(_tokenised(rows, "_text", s))
     pipeline = feature_union(tokens, s)
     kept = keep_for_fits(pipeline.transform(tokens).select("labels", FEATURES))
     try:
@@ -307,6 +308,7 @@ def train_final(
             link = "sigmoid" if s.sgd_loss == "log_loss" else "clipped"
     finally:
         kept.unpersist()
+        tokens.unpersist()
     labels, coef, intercept = fitted
     return OvrModel(s, pipeline, labels, coef, intercept, link)
 
@@ -391,7 +393,7 @@ def fit_class(
     """Any multi-class learner on word features."""
     text = clean_text(F.col(corpus)) if clean else F.col(corpus)
     rows = train.where(F.col(label).isNotNull()).select(F.col(label).alias("_class"), text.alias("_text"))
-    tokens = _tokenised(rows, "_text", _CLASS_FEATURES)
+    tokens = keep_for_fits(_tokenised(rows, "_text", _CLASS_FEATURES))
     stages = features or feature_union(tokens, _CLASS_FEATURES)
     kept = keep_for_fits(stages.transform(tokens).select("_class", FEATURES))
     try:
@@ -402,6 +404,7 @@ def fit_class(
         fitted = learner(n).fit(index.transform(kept))
     finally:
         kept.unpersist()
+        tokens.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="class_code", labels=list(index.labels))
     return ClassModel(stages, PipelineModel([fitted, back]), clean)
 
@@ -424,18 +427,23 @@ def fit_class_svc(
 
 def model_compare(
     train: DataFrame, test: DataFrame, names: Sequence[str] | None = None,
-    corpus: str = "corpus", label: str = "class_code", id: str = "org_id",
+    corpus: str = "corpus", label: str = "class_code", id: str = "org_id", max_iter: int = 100,
 ) -> DataFrame:
-    """Predictions of several learners on one split: (classifier, id, truth, class_code)."""
-    available = classifiers()
+    """Predictions of several learners on one split: (classifier, id, truth, class_code).
+
+    All learners but the per-class one share the features of the first.
+    """
+    available = classifiers(max_iter=max_iter)
     held = test.withColumn("truth", F.col(label))
-    out = None
+    shared, out = None, None
     for name in names or [*available, "linear_svc"]:
         if name == "linear_svc":
             ranked = fit_class_svc(train, corpus, label).ranked(held, corpus, [id, "truth"])
             rows = ranked.withColumn("class_code", F.col("ranked")[0]["code"])
         else:
-            rows = fit_class(train, available[name], corpus, label).predict(held, corpus, [id, "truth"])
+            model = fit_class(train, available[name], corpus, label, features=shared)
+            shared = model.features
+            rows = model.predict(held, corpus, [id, "truth"])
         rows = rows.select(F.lit(name).alias("classifier"), id, "truth", "class_code")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -443,7 +451,7 @@ def model_compare(
 
 def two_step_classify(
     train: DataFrame, test: DataFrame, corpus: str = "corpus", label: str = "class_code",
-    id: str = "org_id",
+    id: str = "org_id", max_iter: int = fixed.CLASS_MAX_ITER,
 ) -> DataFrame:
     """Section first, then the code inside the predicted section.
 
@@ -452,7 +460,7 @@ def two_step_classify(
     the test rows once and each second model only reads its own part.
     """
     sectioned = train.withColumn("section", F.substring(label, 1, 1))
-    first = fit_class_lr(sectioned, corpus, "section")
+    first = fit_class_lr(sectioned, corpus, "section", max_iter=max_iter)
     rows = sectioned.groupBy("section").agg(F.array_sort(F.collect_set(label)).alias("codes")).collect()
     labelled = test.withColumn("truth", F.col(label))
     guess = first.predict(labelled, corpus, [id, "truth", corpus])
@@ -466,7 +474,7 @@ def two_step_classify(
             done = part.select(id, "truth", "section", F.lit(row["codes"][0]).alias("class_code"))
         else:
             own = sectioned.where(F.col("section") == row["section"])
-            model = fit_class_lr(own, corpus, label)
+            model = fit_class_lr(own, corpus, label, max_iter=max_iter)
             done = model.predict(part, corpus, [id, "truth", "section"]).select(
                 id, "truth", "section", "class_code"
             )

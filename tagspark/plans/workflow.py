@@ -102,15 +102,19 @@ def eval_rules_full(
 
 def eval_class_holdout(
     gold: DataFrame, seed: int = fixed.EVALUATION_SEED, test_size: float = fixed.TEST_SHARE,
-    label: str = "class_code",
+    label: str = "class_code", max_iter: int = fixed.CLASS_MAX_ITER,
 ) -> DataFrame:
     """Row results of the class model on held-out rows, stratified if possible."""
     rows = gold.where(F.col(label).isNotNull())
+    # The split and every pass of the fit read the labelled rows.
+    rows = models.keep_for_fits(rows)
     if aggregates.can_stratify(rows, label):
         train, test = ranking.split_stratified(rows, "org_id", label, test_size, seed)
     else:
         train, test = ranking.split_holdout(rows, "org_id", test_size, seed)
-    model = models.fit_class_lr(grid.with_corpus(train, fixed.DEFAULT_FIELDS), label=label)
+    model = models.fit_class_lr(
+        grid.with_corpus(train, fixed.DEFAULT_FIELDS), label=label, max_iter=max_iter
+    )
     held = grid.with_corpus(test, fixed.DEFAULT_FIELDS).withColumn("y_true", F.col(label))
     out = model.predict(held, keep=["org_id", "y_true"])
     return out.select(
