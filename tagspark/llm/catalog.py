@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tagspark.llm import decontam, langid
+from tagspark.llm import decontam, langid, packing, token_count, token_files
 
 QUERIES = {
+    "op2_token_count": token_count.op2_token_count,
+    "op3_token_files": token_files.op3_token_files,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
 }
