@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tagspark.llm import decontam, langid, packing, quality, token_count, token_files, toxicity
+from tagspark.llm import decontam, langid, order_minhash, packing, quality, simhash, token_count, token_files, toxicity
 
 QUERIES = {
     "op2_token_count": token_count.op2_token_count,
     "op3_token_files": token_files.op3_token_files,
+    "op4_order_minhash": order_minhash.op4_order_minhash,
+    "op5_simhash": simhash.op5_simhash,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import byte_list, slices, table
+from tagspark.llm.common import aside, byte_list, slices, table
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -156,9 +156,10 @@ def op9_benchmark_decontamination(spark, sf: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = contamination(docs, benchmark)
+    own, back = aside(docs, "n_words", "runs", "items")
+    marked = contamination(own, benchmark)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
-    return marked.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select(*docs.columns)
+    return marked.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select(*back)
 
 
 def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], size: int = WINDOW):

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import bounded_sample, crc_bucket, slices, table, text_list
+from tagspark.llm.common import aside, bounded_sample, crc_bucket, slices, table, text_list
 
 #: Bound of the labelled rows that a model is fitted on, for each language.
 PER_LANGUAGE = 1000
@@ -228,5 +228,5 @@ def op10_language_id(spark, sf: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents of no language go; the others carry the language found in ``lang``."""
     model = fit(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
-    out = predict(docs, model).where("lang_pred <> 'und'")
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own, back = aside(docs, "lang_pred", "score", "n_spans")
+    return predict(own, model).where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*back)
