@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tagspark.llm import decontam, langid, order_minhash, packing, quality, simhash, token_count, token_files, toxicity
+from tagspark.llm import decontam, langid, order_minhash, packing, quality, simhash, suffix_dedup, token_count, token_files, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_token_count": token_count.op2_token_count,
     "op3_token_files": token_files.op3_token_files,
     "op4_order_minhash": order_minhash.op4_order_minhash,

@@ -16,9 +16,9 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pre-tokens that a worker remembers before it starts anew.
-KNOWN = 1_500_000
+KNOWN = 1_000_000
 #: Code points worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 LETTER, NUMBER, SPACE = 1, 2, 3
 MULT = np.uint64(0x9E3779B97F4A7C15)
 LONG = 512

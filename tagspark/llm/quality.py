@@ -44,13 +44,15 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[:DICTIONARY]
 
 
-def fit(labelled: DataFrame) -> dict | None:
-    """From rows (doc_id, text, label): both dictionaries and the curve; None without two labels.
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """Both dictionaries and the curve from ``docs`` (doc_id, text) and ``labels`` (doc_id, label); None without two labels.
 
-    At most about ``PER_LABEL`` rows a label are read, chosen by a hash of the id.
+    At most about ``PER_LABEL`` rows a label are used, chosen by a hash of the id before any text is read;
+    only these few ids are sent to the scan of the texts.
     """
-    rows = labelled.where("text is not null and label is not null").select("doc_id", "text", "label")
-    sample = bounded_sample(rows.where(F.octet_length("text") <= TRAIN_BYTES), "label", PER_LABEL, "quality")
+    labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    chosen = F.broadcast(bounded_sample(labels, "label", PER_LABEL, "quality"))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.octet_length("text") <= TRAIN_BYTES)
     got = sorted((hash_, t.encode(), y) for hash_, t, y in sample.select(F.xxhash64("doc_id", F.lit(1)), "text", "label").collect())
     half = {y: [t for _, t, label in got if label == y][::2] for y in (0, 1)}
     rest = [(t, label) for y in (0, 1) for t, label in [(t, label) for _, t, label in got if label == y][1::2]]
@@ -63,7 +65,7 @@ def fit(labelled: DataFrame) -> dict | None:
     z = (x - mean) / spread
     # the sample holds the labels in equal parts; the intercept is moved back to their true odds
     w = logistic(np.c_[z, z[:, :5] ** 2], y)
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     w[-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return {"good": good, "bad": bad, "mean": mean, "spread": spread, "w": w}
 
@@ -95,6 +97,6 @@ def op6_quality(spark, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     bucket = crc_bucket(F.col("doc_id"), 5)
-    model = fit(docs.where(bucket != 0).join(labels, "doc_id"))
+    model = fit(docs, labels.where(bucket != 0))
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(bucket == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import bounded_sample, crc_bucket, logistic, probability, slices, table, text_list
+from tagspark.llm.common import bounded_sample, crc_bucket, keep, logistic, probability, slices, table, text_list
 
 #: Bounds of the labelled rows used (each label), of the lexicon and of the exceptions.
 PER_LABEL, TERMS, EXCEPTIONS = 3000, 2000, 2000
@@ -120,17 +120,19 @@ def phrases(matcher: Matcher, text: str) -> set[str]:
     return out
 
 
-def fit(labelled: DataFrame) -> dict | None:
-    """Lexicon, exceptions and curve from rows (doc_id, text, label); None without two labels.
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """Lexicon, exceptions and curve from ``docs`` (doc_id, text) and ``labels`` (doc_id, label); None without two labels.
 
-    At most about ``PER_LABEL`` rows a label are read. A term needs a hundredth of the toxic texts and at least
-    four; its weight is the logarithm of how much likelier it is there.
+    At most about ``PER_LABEL`` rows a label are used, chosen by a hash of the id before any text is read;
+    only these few ids are sent to the scan of the texts. A term needs a hundredth of the toxic texts and
+    at least four; its weight is the logarithm of how much likelier it is there.
     """
-    rows = labelled.where("text is not null and label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    sample = bounded_sample(rows, "label", PER_LABEL, "toxicity").select("text", "label").cache()
+    chosen = F.broadcast(bounded_sample(labels, "label", PER_LABEL, "toxicity"))
+    sample = keep(docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").select("text", "label"), "toxicity-sample")
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
@@ -156,7 +158,6 @@ def fit(labelled: DataFrame) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("label").cast(pa.float64())], ["a", "b", "c", "y"])
 
     got = np.array(sample.mapInArrow(features, "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
-    sample.unpersist()
     w = logistic(got[:, :3], got[:, 3])
     w[-1] += np.log(counts[1] / counts[0]) - np.log(max(bad, 1) / max(good, 1))
     return {"lexicon": lexicon, "exceptions": exceptions, "w": w}
@@ -191,6 +192,6 @@ def op7_toxicity(spark, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     bucket = crc_bucket(F.col("doc_id"), 4)
-    model = fit(docs.where(bucket != 2).join(labels, "doc_id"))
+    model = fit(docs, labels.where(bucket != 2))
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits")
