@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagspark.llm import decontam, langid
+from tagspark.llm import decontam, langid, packing, simhash, suffix_dedup
 from tagspark.llm.common import shared_dir, table
 
 
@@ -15,14 +15,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return simhash.distinct_documents(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long passages that stand more than once leave the texts."""
+    return suffix_dedup.shortened(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document and their places in training sequences."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("decontaminate", decontaminate),
+    ("packed_sequences", packed_sequences),
 ]
 
 #: Learned scores cannot be said in SQL; tests compare the stages with brute force.

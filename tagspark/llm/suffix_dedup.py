@@ -151,18 +151,20 @@ def _finer(segs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for h, seg, times, text in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "times", "text")), strict=True):
-                hashes = gram_hashes(np.frombuffer(text, np.uint8), gram)
-                places = np.flatnonzero(hashes == np.uint64(h % (1 << 64)))
+                if step == 1:
+                    for a in range(len(text) - length + 1):
+                        key = xxhash.xxh3_64_intdigest(text[a : a + length]) - (1 << 63)
+                        out.append((h, seg, times, a, key, key, text[a : a + length]))
+                    continue
+                places = np.flatnonzero(gram_hashes(np.frombuffer(text, np.uint8), gram) == np.uint64(h % (1 << 64)))
                 starts = np.arange(len(text) - length + 1)
-                group = (places[np.searchsorted(places, starts)] - starts) // step
-                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                # where the hash stands several times, distances may start anew; no cut is longer than a step
-                for a, e in zip(first.tolist(), np.r_[first[1:], len(starts)].tolist(), strict=True):
-                    g = int(group[a])
-                    anchor = int(places[np.searchsorted(places, a)])
-                    low, high = anchor - g * step - step + 1, anchor - g * step  # starts of the cut if it is whole
+                anchor = places[np.searchsorted(places, starts)]
+                group = (anchor - starts) // step
+                first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (anchor[1:] != anchor[:-1])])
+                for a, e, g, at in zip(first.tolist(), np.r_[first[1:], len(starts)].tolist(), group[first].tolist(), anchor[first].tolist(), strict=True):
+                    # a whole cut starts at distances g * step to g * step + step - 1; all of these strings hold the bytes between
+                    shared = text[max(at - g * step, 0) : at - g * step - step + 1 + length]
                     cut = text[a : e - 1 + length]
-                    shared = text[max(high, 0) : low + length] if step > 1 else cut
                     key = xxhash.xxh3_64_intdigest(shared, seed=g + 1) - (1 << 63)
                     out.append((h, seg, times, a, key, xxhash.xxh3_64_intdigest(cut) - (1 << 63), cut))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
