@@ -23,6 +23,8 @@ from tagspark.llm.common import bounded_sample, crc_bucket, keep, logistic, prob
 #: Bounds of the labelled rows used (each label), of the lexicon and of the exceptions.
 PER_LABEL, TERMS, EXCEPTIONS = 3000, 2000, 2000
 SHORTEST, LONGEST = 4, 8
+#: Logarithm of how much likelier a term must be in toxic texts before phrases excuse it.
+LEANS = 0.2
 THRESHOLD = 0.3
 #: Look-alikes of Latin letters. i, l and 1 look alike and fold to i.
 LOOKALIKES = {
@@ -97,6 +99,9 @@ class Matcher:
             found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in shields)]
         return found
 
+    def terms(self, folded: str) -> set[str]:
+        return {folded[a:b] for a, b, _ in self.hits(folded)}
+
     def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
@@ -136,19 +141,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    often = F.col("bad") >= max(4, 0.01 * bad)
     terms = _counted(sample, lambda text: {t for w in set(fold(text).split()) for t in beginnings(w)})
-    chosen = terms.where((F.col("bad") >= max(4, 0.01 * bad)) & (odds >= 2.5)).withColumn("w", odds).orderBy(F.desc("bad"), F.length("t"), "t").limit(TERMS).collect()
+    # first every term that leans to toxic texts, then the phrases that excuse it, then what is left of the term
+    loose = {r.t: 1.0 for r in terms.where(often & (odds >= LEANS)).orderBy((odds < 2.5), F.desc("bad"), F.length("t"), "t").limit(TERMS).collect()}
+    plain = Matcher(loose, [])
+    spared = _counted(sample, lambda text: phrases(plain, text)).where("good >= 3 and bad = 0").orderBy(F.desc("good"), "t").limit(EXCEPTIONS).collect()
+    exceptions = [r.t for r in spared]
+    excused = Matcher(loose, exceptions)
+    chosen = _counted(sample, lambda text: excused.terms(fold(text))).where(often & (odds >= 2.5)).withColumn("w", odds).collect()
     lexicon: dict[str, float] = {}
-    covered: dict[str, int] = {r.t: r.bad for r in chosen}
+    found: dict[str, int] = {r.t: r.bad for r in chosen}
     for r in sorted(chosen, key=lambda r: (len(r.t.rstrip()), r.t)):
-        shorter = [r.t[:k] for k in range(SHORTEST + 1, len(r.t.rstrip()))]
-        if r.t.endswith(" ") and r.t[:-1] in lexicon:
-            shorter.append(r.t[:-1])
-        if not any(s in lexicon for s in shorter) and not any(covered.get(r.t[:k], 0) > 1.02 * r.bad for k in range(SHORTEST + 1, len(r.t.rstrip()))):
+        shorter = [r.t[:k] for k in range(SHORTEST + 1, len(r.t))]
+        # a term stands for its longer forms, unless they are no rarer than it
+        if not any(x in lexicon for x in shorter) and not any(found.get(x, 0) > 1.02 * r.bad for x in shorter):
             lexicon[r.t] = float(r.w)
-    plain = Matcher(lexicon, [])
-    spared = _counted(sample, lambda text: phrases(plain, text)).where("good >= 3 and bad = 0").orderBy(F.desc("good"), "t").limit(EXCEPTIONS).collect()
-    exceptions = [r.t for r in spared]
+    exceptions = [x for x in exceptions if any(t in x for t in lexicon)]
     sent = sample.sparkSession.sparkContext.broadcast((lexicon, exceptions))
 
     def features(batches):
