@@ -15,12 +15,12 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(keep(_lowest(both), "lowest"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
+    low = keep(_lowest(down), "lowest")
     moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v")))
 
@@ -28,8 +28,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """(node, root) for every node of the edges (a, b), the root being the smallest node it reaches.
 
-    Alternates both contractions until no edge changes; each round is written to the shared folder. A hub's
-    edges meet only in joins, which adaptive execution splits. Edges of a node to itself, null ends and
+    Alternates both contractions until no edge changes; each round is written to the shared folder, and so are the
+    smallest neighbours, so that a hub's edges meet them in a plain join, which adaptive execution splits. Edges of a node to itself, null ends and
     repeated edges are passed over; without edges the result is empty.
     """
     now = keep(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")

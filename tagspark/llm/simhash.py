@@ -189,7 +189,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     """
     groups = radius + 2
     keyed = nodes.select("fp", F.explode(keys(F.col("fp"), radius, groups)).alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).alias("tiles"))
+    # written, so that a frequent key's rows meet its size in a plain join, which adaptive execution splits
+    sizes = keep(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile).alias("tiles")), "key-sizes")
     met = keyed.join(sizes, "key")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64("key", F.least(own, t), F.greatest(own, t)))

@@ -34,7 +34,7 @@ HOT, SHARD, STEP = 2000, 1 << 20, 16
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Stands between segments; no UTF-8 text holds it.
 BREAK = b"\xff"
-PLACES = "row long, h long, seg long, start long, size int"
+PLACES = "row long, h long, seg long, start long, size int, stands int"
 SEGMENTS = "h long, seg long, times long, text binary"
 
 
@@ -71,18 +71,25 @@ def smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:n], low[width - span : width - span + n])
 
 
-def segments(text: bytes, length: int, gram: int) -> list[tuple[int, int, int, int]]:
-    """(hash, digest, first byte, bytes) of each segment; together they hold every start of ``length`` bytes once."""
+def segments(text: bytes, length: int, gram: int) -> list[tuple[int, int, int, int, int]]:
+    """(hash, digest, first byte, bytes, how often the hash stands) of each segment; together they hold every start once.
+
+    A hash counts as standing twice if it stands at several places of one run, whose strings may then repeat each other.
+    """
     if len(text) < length:
         return []
-    low = smallest(gram_hashes(np.frombuffer(text, np.uint8), gram), length - gram + 1)
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    x = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    low = smallest(x, length - gram + 1)
+    new = low[1:] != low[:-1]
+    first = np.flatnonzero(np.r_[True, new])
+    # the run goes on though its hash is left behind: it stands again further on
+    twice = np.logical_or.reduceat(np.r_[(x[: len(low) - 1] == low[:-1]) & ~new, False], first)
     hashes, ends = low[first].view(np.int64).tolist(), np.r_[first[1:], len(low)].tolist()
     out = []
-    for h, a, e in zip(hashes, first.tolist(), ends, strict=True):
+    for h, a, e, again in zip(hashes, first.tolist(), ends, twice.tolist(), strict=True):
         for at in range(a, e, RUN):
             size = min(RUN, e - at) + length - 1
-            out.append((h, xxhash.xxh3_64_intdigest(text[at : at + size]) - (1 << 63), at, size))
+            out.append((h, xxhash.xxh3_64_intdigest(text[at : at + size]) - (1 << 63), at, size, 2 if again else 1))
     return out
 
 
@@ -178,7 +185,7 @@ def _found(segs: DataFrame, length: int, gram: int, steps: list[int]) -> DataFra
     """Repeats of all segments (h, seg, times, text), hot hashes cut by the next of ``steps`` first."""
     if not steps:
         return _sorted_shards(segs, length)
-    hot = segs.groupBy("h").count().where(F.col("count") > HOT).select("h")
+    hot = keep(segs.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
     if hot.isEmpty():
         return _sorted_shards(segs, length)
     cuts = keep(_finer(segs.join(hot, "h", "left_semi"), length, gram, steps[0]), "cuts")
@@ -220,7 +227,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             yield _places(out)
 
     places = keep(wide.select("row", "z").mapInArrow(place, PLACES), "places")
-    again = places.groupBy("h").count().where("count > 1").select("h")
+    # written, so that a frequent hash meets it in a plain join, which adaptive execution splits
+    again = keep(places.groupBy("h").agg(F.sum("stands").alias("n")).where("n > 1").select("h"), "again")
     places = keep(places.join(again, "h"), "places-again")
     one = places.groupBy("h", "seg").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "size")).alias("at"))
     wanted = one.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("h", "seg", "times", "at.start", "at.size")).alias("cuts"))
@@ -240,9 +248,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
 
 def _places(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "h", "seg", "start", "size"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    types = [*[pa.int64()] * 4, *[pa.int32()] * 2]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "h", "seg", "start", "size", "stands"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ def corpus(seed=1):
     r = random.Random(seed)
     word = lambda: "".join(r.choices("abcdé", k=r.randrange(2, 9)))
     passage = [" ".join(word() for _ in range(r.randrange(8, 40))) for _ in range(6)]
-    out = [None, "", "short", "ab" * 300, "ab" * 301, "x" * 1500, " ".join(passage), " ".join(passage)]
+    out = [None, "", "short", "ab" * 300, "ab" * 301, "lone passage of some bytes! " * 5, "this one stands twice, and between its ends there is no room for another" * 2, "x" * 1500, " ".join(passage), " ".join(passage)]
     for _ in range(120):
         parts = [" ".join(word() for _ in range(r.randrange(1, 30))) for _ in range(3)]
         if r.random() < 0.7:
