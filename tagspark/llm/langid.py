@@ -22,7 +22,9 @@ from tagspark.llm.common import aside, bounded_sample, crc_bucket, slices, table
 PER_LANGUAGE = 1000
 GRAMS = 200_000
 PENALTY = 6.0
-CACHE = 400_000
+CACHE = 200_000
+#: Tokens scored together, and characters labelled together; they bound what a worker holds.
+LEARNED, LABELLED = 16_384, 1 << 20
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SPECIES = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK")
 
@@ -132,7 +134,9 @@ class Scores:
             if len(self.at) + len(new) > CACHE:
                 self.empty()
                 new = set(tokens)
-            self.learn(sorted(new))
+            new = sorted(new)
+            for i in range(0, len(new), LEARNED):
+                self.learn(new[i : i + LEARNED])
         return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
 
 
@@ -198,7 +202,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame
             return names, (mass.max(1) / np.maximum(total, 1)).tolist(), n_spans
 
         for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 texts = text_list(part.column("text"))
                 order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
                 found: list = [None] * len(texts)
@@ -207,7 +211,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame
                 for place, i in enumerate(order):
                     held.append(i)
                     size += len(texts[i])
-                    if size >= 4 << 20 or place == len(order) - 1:
+                    if size >= LABELLED or place == len(order) - 1:
                         for j, *x in zip(held, *group([texts[j] for j in held]), strict=True):
                             found[j] = x
                         held, size = [], 0
