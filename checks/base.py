@@ -6,7 +6,6 @@ expression of the same name for the checking SQL.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from tagspark.functions import text as tx
 from tagspark.functions.codes import code_set, split_codes
 from tagspark.operators import features, rules
-from tagspark.session import spread
+from tagspark.session import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,12 +58,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written files: in the cluster's shared folder if it
-    names one, else a local temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder for written files, in the folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
 
 
 def rows6(df: DataFrame, *cols: str) -> DataFrame:

@@ -21,29 +21,45 @@ from tagspark.operators import aggregates, decide, joins, ranking, registry
 
 
 @query("left_lookup", """SELECT c_custkey, c_name, o.o_orderpriority, o.o_orderdate::DATE AS o_orderdate FROM customer LEFT JOIN
-  (SELECT o_custkey, min((o_orderdate, o_orderpriority)) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) x ON c_custkey = o_custkey
+  (SELECT o_custkey, arg_min((o_orderdate, o_orderpriority), (o_orderdate, o_orderpriority, o_orderkey)) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) x ON c_custkey = o_custkey
   LEFT JOIN LATERAL (SELECT x.m[1] AS o_orderdate, x.m[2] AS o_orderpriority) o ON true""")
 def left_lookup(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    out = joins.left_lookup(c, o, "c_custkey", ["o_orderdate", "o_orderpriority"], F.col("o_orderstatus") == "F")
+    out = joins.left_lookup(c, o, "c_custkey", ["o_orderdate", "o_orderpriority"], F.col("o_orderstatus") == "F", ["o_orderdate", "o_orderpriority", "o_orderkey"])
     return out.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
 
 
+@query("left_lookup_gaps", """SELECT c_custkey, a, b FROM customer LEFT JOIN (SELECT o_custkey,
+  min(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END) AS a, min(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS b
+  FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def left_lookup_gaps(spark, sf):
+    """Keys repeat, and each column has nulls that must hide no value."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("a"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("b"),
+    )
+    return joins.left_lookup(table(spark, sf, "customer").select("c_custkey"), o, "c_custkey", ["a", "b"])
+
+
 @query("left_lookup_default", """SELECT c_custkey, coalesce(big, false) AS big FROM customer LEFT JOIN
-  (SELECT o_custkey, min(o_totalprice > 250000) AS big FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) ON c_custkey = o_custkey""")
+  (SELECT o_custkey, min(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice > 250000 END) AS big FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) ON c_custkey = o_custkey""")
 def left_lookup_default(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
     o = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("c_custkey"), "o_orderpriority", (F.col("o_totalprice") > 250000).alias("big")
+        F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") > 250000).alias("big")
     )
     return joins.left_lookup_default(c, o, "c_custkey", "big", False, F.col("o_orderpriority") == "1-URGENT")
 
 
-@query("left_lookup_activities", """SELECT l.doc_id, l.quality, d.text AS activities FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""")
+@query("left_lookup_activities", """SELECT l.doc_id, l.quality, d.activities FROM labels l LEFT JOIN
+  (SELECT doc_id, min(activities) AS activities FROM (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN text END AS activities FROM documents
+   UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'zz ' || source END FROM documents) GROUP BY doc_id) d ON l.doc_id = d.doc_id""")
 def left_lookup_activities(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("activities"))
-    return joins.left_lookup_activities(table(spark, sf, "labels").select("doc_id", "quality"), d, "doc_id")
+    d = table(spark, sf, "documents")
+    text = d.select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("activities"))
+    more = d.select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("zz "), "source")).otherwise("  ").alias("activities"))
+    return joins.left_lookup_activities(table(spark, sf, "labels").select("doc_id", "quality"), text.unionByName(more), "doc_id")
 
 
 @query("name_join", """SELECT t.org_id, t.code, r.name, x.tag AS code_name FROM tags t LEFT JOIN records r ON t.org_id = r.org_id

@@ -63,7 +63,7 @@ def feature_union(spark, sf):
 @query("fit_class_lr")
 def fit_class_lr(spark, sf):
     g = gold(spark, sf)
-    model = models.fit_class_lr(g, max_iter=100)
+    model = models.fit_class_lr(g)
     return model.predict(g)
 
 
@@ -98,13 +98,13 @@ def model_compare(spark, sf):
 @query("two_step_classify")
 def two_step_classify(spark, sf):
     dev, test = ranking.split_holdout(gold(spark, sf), "org_id", 0.3, 42)
-    out = models.two_step_classify(models.keep_for_fits(dev), models.keep_for_fits(test), max_iter=100)
+    out = models.two_step_classify(models.keep_for_fits(dev), models.keep_for_fits(test))
     return metrics.multiclass_metrics(out, "truth", "class_code")
 
 
 @query("eval_class_holdout")
 def eval_class_holdout(spark, sf):
-    return workflow.eval_class_holdout(gold(spark, sf), max_iter=100)
+    return workflow.eval_class_holdout(gold(spark, sf))
 
 
 @query("eval_ovr_holdout")
@@ -149,7 +149,7 @@ def job_tag_hybrid(spark, sf):
 
 @query("job_classify")
 def job_classify(spark, sf):
-    model = models.fit_class_lr(gold(spark, sf), max_iter=100)
+    model = models.fit_class_lr(gold(spark, sf))
     manual = joins.first_label(stacked(spark, sf), "class_code")
     titles = spark.createDataFrame(
         [("A", "A10", None, "English"), ("A", "A20", None, "French"), ("B", "B10", None, "German"), ("B", "B20", None, "Spanish")],

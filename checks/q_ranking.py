@@ -55,6 +55,25 @@ def sample_n(spark, sf):
     return ranking.sample_n(table(spark, sf, "orders").select("o_orderkey"), 5000, 5, "o_orderkey")
 
 
+@query("sample_n_few", "SELECT o_orderkey FROM orders ORDER BY md5('5:' || o_orderkey) LIMIT 700")
+def sample_n_few(spark, sf):
+    return ranking.sample_n(table(spark, sf, "orders").select("o_orderkey"), 700, 5, "o_orderkey")
+
+
+@query("sample_n_repeats", """SELECT count(*) AS n FROM (SELECT 1 FROM orders UNION ALL SELECT 2 FROM orders LIMIT 1501)""")
+def sample_n_repeats(spark, sf):
+    """Every id twice, and most rows without one: still exactly the number asked for."""
+    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("id"), "o_totalprice")
+    return ranking.sample_n(o.unionByName(o), 1501, 5, "id").agg(F.count("*").alias("n"))
+
+
+@query("top_n_per_code_many", """SELECT code, org_id, income FROM group_tags JOIN records USING (org_id)
+  QUALIFY row_number() OVER (PARTITION BY code ORDER BY income DESC NULLS LAST, org_id) <= 2000""", ("group_tags", "records"))
+def top_n_per_code_many(spark, sf):
+    rows = group_tags(spark, sf).join(records(spark, sf).select("org_id", "income"), "org_id")
+    return ranking.top_n_per_code(rows, 2000)
+
+
 @query("argmax_class", "SELECT org_id, code AS class_code, round(score, 6) AS class_code_probability FROM class_ranks WHERE rn = 1", ("class_ranks",))
 def argmax_class(spark, sf):
     return rows6(ranking.argmax_class(class_scores(spark, sf)), "class_code_probability")
@@ -84,8 +103,7 @@ def rank_settings(spark, sf):
   ORDER BY f1_mean DESC, grid_approach, p_type, p_size LIMIT 25""")
 def show_top(spark, sf):
     order = [F.desc("f1_mean"), "grid_approach"]
-    once = ranking.dedupe_first(_summary(spark, sf), ["p_type", "p_size"], order)
-    return ranking.show_top(once, 25, order=[*order, "p_type", "p_size"])
+    return ranking.show_top(_summary(spark, sf), 25, ["p_type", "p_size"], order=[*order, "p_type", "p_size"])
 
 
 @query("sort_output", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")

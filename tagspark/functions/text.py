@@ -44,13 +44,13 @@ def corpus_column(
 ) -> Column:
     """Text of one record: fields joined by a space, nulls as empty text.
 
-    ``fill_from=(a, b)`` takes ``b`` where ``a`` is null, if both are in play.
+    ``fill_from=(a, b)`` takes ``b`` where ``a`` is null or blank, if both are in play.
     """
     parts = []
     for name in fields:
         col = F.col(name)
         if fill_from and name == fill_from[0] and fill_from[1] in df.columns:
-            col = F.coalesce(col, F.col(fill_from[1]))
+            col = F.coalesce(blank_to_null(col), F.col(fill_from[1]))
         # concat_ws drops nulls together with their blank, so fill first.
         parts.append(F.coalesce(col, F.lit("")))
     joined = F.concat_ws(" ", *parts)

@@ -12,37 +12,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagspark.functions.codes import no_codes, split_codes
+from tagspark.functions.text import blank_to_null
 
 # A share of 1/HOT_SHARE of all rows makes a key "hot"; there can be no more
 # than HOT_SHARE such keys, which bounds what is broadcast for them.
 HOT_SHARE = 10_000
 
 
-def one_per_key(df: DataFrame, on: str, cols: Sequence[str]) -> DataFrame:
-    """One row per key: the smallest values. Combined before the shuffle."""
-    best = df.groupBy(on).agg(F.min(F.struct(*cols)).alias("_best"))
-    return best.select(on, *[F.col("_best")[c].alias(c) for c in cols])
+def one_per_key(df: DataFrame, on: str, cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, combined before the shuffle.
+
+    With ``order``, the first row by those columns (nulls last); its nulls stay. Without, each column gets
+    its smallest value that is not null, so a row with a gap hides no value of another row.
+    """
+    if order:
+        place = [F.struct(F.col(c).isNull(), F.col(c)) for c in (*order, *cols)]
+        best = df.groupBy(on).agg(F.min_by(F.struct(*cols), F.struct(*place)).alias("_best"))
+        return best.select(on, *[F.col("_best")[c].alias(c) for c in cols])
+    return df.groupBy(on).agg(*[F.min(c).alias(c) for c in cols])
 
 
 def left_lookup(
-    df: DataFrame, other: DataFrame, on: str, cols: Sequence[str], where: Column | None = None
+    df: DataFrame, other: DataFrame, on: str, cols: Sequence[str], where: Column | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Add columns of another table, from the rows that meet ``where``."""
+    """Add columns of another table, from the rows that meet ``where`` (see :func:`one_per_key`)."""
     side = other if where is None else other.where(where)
-    return df.join(one_per_key(side, on, cols), on, "left")
+    return df.join(one_per_key(side, on, cols, order), on, "left")
 
 
 def left_lookup_default(
-    df: DataFrame, other: DataFrame, on: str, col: str, default, where: Column | None = None
+    df: DataFrame, other: DataFrame, on: str, col: str, default, where: Column | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    out = left_lookup(df, other, on, [col], where)
+    out = left_lookup(df, other, on, [col], where, order)
     return out.withColumn(col, F.coalesce(F.col(col), F.lit(default)))
 
 
 def left_lookup_activities(
-    df: DataFrame, other: DataFrame, on: str, cols: Sequence[str] = ("activities",)
+    df: DataFrame, other: DataFrame, on: str, cols: Sequence[str] = ("activities",),
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    return left_lookup(df, other, on, cols)
+    """Texts of another table; blank ones count as missing, so a blank row hides no text."""
+    texts = other.withColumns({c: blank_to_null(F.col(c)) for c in cols})
+    return left_lookup(df, texts, on, cols, order=order)
 
 
 def name_join(

@@ -43,8 +43,8 @@ from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, wor
 from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
 
-# Largest coefficient matrix that is sent to every executor, in bytes.
-MAX_MATRIX_BYTES = 1 << 30
+# Coefficients that are sent to the executors at a time, in bytes; a larger matrix goes in blocks of labels.
+MAX_MATRIX_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -72,23 +72,23 @@ class Settings:
     selected_by: str | None = None
 
     def __post_init__(self) -> None:
-        if self.ngram_max < 1:
-            raise ValueError("ngram_max must be at least 1")
-        if self.char_ngram_max != 0 and self.char_ngram_max < 3:
-            raise ValueError("char_ngram_max must be 0 or at least 3")
-        if self.model_family not in ("logistic", "linear_svc", "sgd"):
-            raise ValueError(f"unknown model family {self.model_family!r}")
-        if self.class_weight_mode not in ("none", "balanced"):
-            raise ValueError(f"unknown class weight mode {self.class_weight_mode!r}")
-        if self.fallback_mode not in ("none", "top_k", "max_score_top_1"):
-            raise ValueError(f"unknown fallback mode {self.fallback_mode!r}")
-        if self.model_family == "sgd":
-            if self.sgd_loss not in ("log_loss", "modified_huber"):
-                raise ValueError(f"unknown loss {self.sgd_loss!r}")
-            if self.sgd_alpha is None or self.sgd_alpha <= 0:
-                raise ValueError("sgd_alpha must be above 0")
-        elif self.model_c <= 0:
-            raise ValueError("model_c must be above 0")
+        for name, (holds, wanted) in _CHECKS.items():
+            value = getattr(self, name)
+            if not holds(value, self):
+                raise ValueError(f"{name} = {value!r}; wanted: {wanted}")
+
+
+#: What each setting must be, tested with the other settings at hand.
+_CHECKS = {
+    "ngram_max": (lambda v, s: v >= 1, "1 or more"),
+    "char_ngram_max": (lambda v, s: v == 0 or v >= 3, "0, or 3 or more"),
+    "model_family": (lambda v, s: v in ("logistic", "linear_svc", "sgd"), "logistic, linear_svc or sgd"),
+    "class_weight_mode": (lambda v, s: v in ("none", "balanced"), "none or balanced"),
+    "fallback_mode": (lambda v, s: v in ("none", "top_k", "max_score_top_1"), "none, top_k or max_score_top_1"),
+    "sgd_loss": (lambda v, s: s.model_family != "sgd" or v in ("log_loss", "modified_huber"), "log_loss or modified_huber"),
+    "sgd_alpha": (lambda v, s: s.model_family != "sgd" or (v is not None and v > 0), "more than 0"),
+    "model_c": (lambda v, s: s.model_family == "sgd" or v > 0, "more than 0"),
+}
 
 
 # --- features ---------------------------------------------------------------
@@ -222,17 +222,17 @@ class OvrModel:
 
 
 def _score_vectors(vectors: DataFrame, keep: Sequence[str], coef, intercept, link: str) -> DataFrame:
-    """Scores as one array per row, by a broadcast matrix of checked size."""
-    if coef.nbytes > MAX_MATRIX_BYTES:
-        raise ValueError(
-            f"coefficient matrix of {coef.nbytes} bytes is too large to broadcast; "
-            "score in long form with features.score_labels"
-        )
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.ascontiguousarray(coef.T), np.asarray(intercept))
-    )
-    fields = [vectors.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("_scores", T.ArrayType(T.DoubleType()))])
+    """Scores as one array per row: blocks of labels follow each other, each with a broadcast of bounded size."""
+    per = max(1, MAX_MATRIX_BYTES // max(1, 8 * coef.shape[1]))
+    out = vectors.select(*keep, FEATURES, F.expr("cast(array() as array<double>)").alias("_scores"))
+    for start in range(0, max(1, len(coef)), per):
+        out = _score_block(out, coef[start : start + per], intercept[start : start + per], link)
+    return out.select(*keep, "_scores")
+
+
+def _score_block(rows: DataFrame, coef, intercept, link: str) -> DataFrame:
+    """Append the scores of some labels to the array that the row carries."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(coef.T), np.asarray(intercept)))
 
     def run(batches):
         import pyarrow as pa
@@ -245,15 +245,14 @@ def _score_vectors(vectors: DataFrame, keep: Sequence[str], coef, intercept, lin
                 scores = 1.0 / (1.0 + np.exp(-scores))
             elif link == "clipped":
                 scores = (np.clip(scores, -1.0, 1.0) + 1.0) / 2.0
-            n, k = scores.shape
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(scores.ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(keep))], lists], [*keep, "_scores"]
-            )
+            n = len(scores)
+            before = batch.column(batch.schema.get_field_index("_scores"))
+            had = np.asarray(before.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
+            both = np.hstack([had, scores])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * both.shape[1]), pa.array(both.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], batch.schema.names)
 
-    return vectors.select(*keep, FEATURES).mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 # --- fitting -----------------------------------------------------------------
@@ -309,8 +308,8 @@ def train_final(
     finally:
         kept.unpersist()
         tokens.unpersist()
-    labels, coef, intercept = fitted
-    return OvrModel(s, pipeline, labels, coef, intercept, link)
+    labels, coef, intercept, steps = fitted
+    return OvrModel(s, pipeline, labels, coef, intercept, link, {"steps": steps})
 
 
 # --- single-class models --------------------------------------------------------
@@ -427,7 +426,7 @@ def fit_class_svc(
 
 def model_compare(
     train: DataFrame, test: DataFrame, names: Sequence[str] | None = None,
-    corpus: str = "corpus", label: str = "class_code", id: str = "org_id", max_iter: int = 100,
+    corpus: str = "corpus", label: str = "class_code", id: str = "org_id", max_iter: int = fixed.CLASS_MAX_ITER,
 ) -> DataFrame:
     """Predictions of several learners on one split: (classifier, id, truth, class_code).
 

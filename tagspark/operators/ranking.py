@@ -1,9 +1,8 @@
-"""First rows, top rows, samples and splits, all reproducible.
+"""First rows, top rows, samples and splits, all reproducible and exact at any size.
 
-``row_number() <= n`` is cut per task before the shuffle (Spark's window group
-limit, for n up to 1,000), so a group that holds a third of all rows sends only
-n rows per task. Larger or relative sizes use :func:`mark_first`, which never
-sorts a whole group in one place.
+:func:`first_rows` takes the first rows of each group in two steps: of every ``PARTS`` parts of a group
+first, then of what they leave, so a group that holds a third of all rows is never sorted in one place.
+:func:`mark_first` finds one cut value per group by counting and compares every row with it.
 """
 
 from __future__ import annotations
@@ -13,9 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagspark import fixed
 from tagspark.functions.codes import order_key
+from tagspark.operators.joins import hot_key_join
 
-WINDOW_LIMIT = 1_000
+#: Parts that a group is dealt into before its first rows are known.
+PARTS = 64
+#: Groups whose cut values may be broadcast; more are joined.
+FEW_STRATA = 10_000
 _HASH_HEX = 4
 
 
@@ -24,10 +28,10 @@ def _row_number(keys: Sequence[str], order: Sequence) -> Column:
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) -> DataFrame:
-    """The first ``n`` rows of every group."""
-    if n > WINDOW_LIMIT:
-        raise ValueError(f"at most {WINDOW_LIMIT} rows per group; use mark_first for more")
-    return df.withColumn("_rn", _row_number(keys, order)).where(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` rows of every group, for any ``n``; of equal rows any."""
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+    near = parts.withColumn("_rn", _row_number([*keys, "_part"], order)).where(F.col("_rn") <= n)
+    return near.withColumn("_rn", _row_number(keys, order)).where(F.col("_rn") <= n).drop("_rn", "_part")
 
 
 def dedupe_first(
@@ -82,16 +86,11 @@ def sample_n_per_stratum(
 ) -> DataFrame:
     """``n`` random records per combination; rows without a stratum are left out."""
     rows = df.dropna(subset=list(strata))
-    if n <= WINDOW_LIMIT:
-        return first_rows(rows, strata, [order_key(F.col(id), seed)], n)
-    marked = mark_first(rows, id, seed, strata, rows=n)
-    return marked.where("picked").drop("picked")
+    return mark_first(rows, id, seed, strata, rows=n).where("picked").drop("picked")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, id: str = "org_id") -> DataFrame:
     """``n`` random records."""
-    if n <= WINDOW_LIMIT:
-        return df.orderBy(order_key(F.col(id), seed)).limit(n)
     return mark_first(df, id, seed, rows=n).where("picked").drop("picked")
 
 
@@ -107,17 +106,17 @@ def mark_first(
     """Mark exactly the first ``rows`` (or ``ceil(share * size)``) records of
     every stratum in hash order, without sorting or moving the table.
 
-    Hash prefixes are counted, the prefix that holds the cut is found per
-    stratum, only its few rows are ranked, and the cut value is compared to
-    every row in place. ``rows`` may give one number per value of a single
-    stratum column. Ids are taken to be unique.
+    Hash prefixes are counted, the prefix that holds the cut is found per stratum, only its few rows are
+    ranked, and the cut is compared to every row in place. ``rows`` may give one number per value of a
+    single stratum column. Repeated ids are ordered by their rows' contents, and so are rows without an
+    id; of fully equal rows at the cut as many are marked as are wanted.
     """
     if (rows is None) == (share is None):
         raise ValueError("give either rows or share")
     strata = list(strata)
-    hashed = df.select(*strata, order_key(F.col(id), seed).alias("_h")).withColumn(
-        "_b", F.substring("_h", 1, _HASH_HEX)
-    )
+    content = F.lower(F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0"))
+    key = F.concat(F.coalesce(order_key(F.col(id), seed), order_key(F.concat(F.lit("\x00"), content), seed)), content)
+    hashed = df.select(*strata, key.alias("_h")).withColumn("_b", F.substring("_h", 1, _HASH_HEX))
     sizes = hashed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*strata)
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,20 +140,36 @@ def mark_first(
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"_s_{s}"))
     border = hashed.join(cut_prefix, same)
-    ranked = border.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h"))
+    w = Window.partitionBy(*strata, "_b").orderBy("_h")
+    ranked = border.withColumns({"_rn": F.row_number().over(w), "_first": F.rank().over(w)})
+    # the cut, and how many of the rows equal to it are in
+    cuts = ranked.where(F.col("_rn") == F.col("_rank")).select(*strata, F.col("_h").alias("_cut"), (F.col("_rn") - F.col("_first") + 1).alias("_equal"))
+    joined = _with_cuts(df, cuts, sizes, strata)
+    marked = joined.withColumn("_key", key)
+    below = marked.where((F.col("_key") < F.col("_cut")) | (F.col("_key") > F.col("_cut")) | F.col("_cut").isNull()).select(
+        *df.columns, F.coalesce(F.col("_key") < F.col("_cut"), F.lit(False)).alias(out)
     )
-    cuts = ranked.where(F.col("_rn") == F.col("_rank"))
-    here = order_key(F.col(id), seed)
+    at = marked.where(F.col("_key") == F.col("_cut"))
+    at = at.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata, "_key").orderBy("_key")))
+    return below.unionByName(at.select(*df.columns, (F.col("_rn") <= F.col("_equal")).alias(out)))
+
+
+def _with_cuts(df: DataFrame, cuts: DataFrame, sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Every row with the cut of its stratum, if it has one, without moving rows by stratum.
+
+    Cut values of few strata (counted) are broadcast; those of many go through ``hot_key_join``.
+    """
     if not strata:
-        cut = cuts.agg(F.max("_h").alias("cut"))
-        return df.withColumn(out, F.coalesce(here <= cut.scalar(), F.lit(False)))
-    cuts = cuts.select(*[F.col(s).alias(f"_s_{s}") for s in strata], F.col("_h").alias("_cut"))
-    match = F.lit(True)
-    for s in strata:
-        match = match & F.col(s).eqNullSafe(F.col(f"_s_{s}"))
-    joined = df.join(cuts, match, "left")
-    return joined.select(*df.columns, F.coalesce(here <= F.col("_cut"), F.lit(False)).alias(out))
+        one = cuts.agg(F.max(F.struct("_cut", "_equal")).alias("c"))
+        return df.withColumn("_one", one.scalar()).select(*df.columns, F.col("_one._cut").alias("_cut"), F.col("_one._equal").alias("_equal"))
+    name = F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})
+    per = sizes.groupBy(*strata).agg(F.sum("_n").alias("_rows")).withColumn("_stratum", name)
+    known = per.join(cuts.select(name.alias("_stratum"), "_cut", "_equal"), "_stratum", "left")
+    rows = df.withColumn("_stratum", name)
+    if per.count() <= FEW_STRATA:
+        return rows.join(F.broadcast(known.select("_stratum", "_cut", "_equal")), "_stratum", "left")
+    content = rows.withColumn("_spread", F.xxhash64(*df.columns))
+    return hot_key_join(content, known.select("_stratum", "_rows", "_cut", "_equal"), "_stratum", "_rows", ["_cut", "_equal"], "_spread")
 
 
 def split_holdout(
@@ -227,9 +242,9 @@ def rank_settings(
 
 
 def show_top(
-    summary: DataFrame, n: int, dedupe_cols: Sequence[str] = (), order: Sequence = ("rank",)
+    summary: DataFrame, n: int, dedupe_cols: Sequence[str] = tuple(fixed.SHOW_TOP_KEYS), order: Sequence = ("rank",)
 ) -> DataFrame:
-    """First ``n`` settings, after keeping the first of equal ones."""
+    """First ``n`` settings, after keeping the first of those that are shown alike."""
     rows = first_rows(summary, dedupe_cols, order, 1) if dedupe_cols else summary
     return rows.orderBy(*order).limit(n)
 

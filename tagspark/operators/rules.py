@@ -17,7 +17,6 @@ from tagspark.functions.codes import code_set, explode_rows, group_codes, split_
 
 # Case-insensitive, with Unicode letters, digits and word edges.
 FLAGS = "(?iU)"
-MAX_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -32,13 +31,11 @@ def _stated(pattern: str | None) -> bool:
 
 
 def load_rules(table: DataFrame) -> list[Rule]:
-    """Rules of a taxonomy table (``code, include, exclude``) on the driver.
+    """Rules of a taxonomy table (``code, include, exclude``) on the driver, one partition at a time.
 
-    Hand-written, so few; a table that is not is refused rather than fetched.
+    They become literals of the plan, so their number is bounded by what a plan can hold, not here.
     """
-    rows = table.select("code", "include", "exclude").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = table.select("code", "include", "exclude").toLocalIterator()
     return [Rule(*row) for row in rows if _stated(row["include"])]
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tagspark import fixed
 from tagspark.operators import aggregates, decide, metrics, models, ranking, rules
 
-MAX_SETTINGS = 100_000
+#: Settings that meet the scores in one broadcast; more are swept block by block.
+BLOCK_SETTINGS = 50_000
 _DEFAULTS = {
     "fields_key": [",".join(fixed.DEFAULT_FIELDS)],
     "clean_text": [True],
@@ -89,11 +90,19 @@ def grid_sweep(
     decisions are made inside the row and counters are summed per task, so the
     shuffle carries seeds x settings x codes rows, not records.
 
-    Action: counts the settings, to prove the broadcast small.
+    Action: counts the settings. More than ``BLOCK_SETTINGS`` are dealt into blocks by their key, each a
+    broadcast of bounded size.
     """
-    n = params.count()
-    if n > MAX_SETTINGS:
-        raise ValueError(f"{n} settings; search at most {MAX_SETTINGS} in one sweep")
+    blocks = -(-params.count() // BLOCK_SETTINGS)
+    out = None
+    for i in range(max(1, blocks)):
+        own = params if blocks < 2 else params.where(F.pmod(F.xxhash64("setting"), F.lit(blocks)) == i)
+        part = _sweep(scored, own, hybrid_rule)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _sweep(scored: DataFrame, params: DataFrame, hybrid_rule: str) -> DataFrame:
     knobs = params.select(
         "fit_key", "setting", "grid_approach", "threshold", "fallback_mode",
         "fallback_min_score", "top_k_fallback", "hybrid_label_confidence_threshold",
@@ -119,28 +128,23 @@ def grid_sweep(
     )
 
 
-def settings_of(row, approach: str | None = None, **extra) -> models.Settings:
-    """Model settings out of a row of the grid."""
-    loss, alpha = row["sgd_loss"] or None, row["sgd_alpha"]
-    hybrid = str(row["grid_approach"]).startswith("hybrid")
-    return models.Settings(
-        approach=approach or row["grid_approach"],
-        fields=tuple(x for x in row["fields_key"].split(",") if x),
-        clean_text=bool(row["clean_text"]),
-        model_family=row["model_family"],
-        ngram_max=int(row["ngram_max"]),
-        char_ngram_max=int(row["char_ngram_max"]),
-        model_c=float(row["model_c"]),
-        sgd_loss=loss,
-        sgd_alpha=alpha if alpha is not None and alpha > 0 else None,
-        class_weight_mode=row["class_weight_mode"],
-        threshold=float(row["threshold"]),
-        fallback_mode=row["fallback_mode"],
-        fallback_min_score=float(row["fallback_min_score"]),
-        top_k_fallback=int(row["top_k_fallback"]),
-        hybrid_conf=float(row["hybrid_label_confidence_threshold"]) if hybrid else None,
-        **extra,
-    )
+#: Column of the grid -> field of the settings and how its value is read.
+_FIELDS = {
+    "fields_key": ("fields", lambda v: tuple(x for x in v.split(",") if x)),
+    "hybrid_label_confidence_threshold": ("hybrid_conf", lambda v: v if v >= 0 else None),
+    "sgd_loss": ("sgd_loss", lambda v: v or None),
+    "sgd_alpha": ("sgd_alpha", lambda v: v if v > 0 else None),
+    "grid_approach": ("approach", str),
+}
+
+
+def settings_of(row, **extra) -> models.Settings:
+    """Model settings out of a row of the grid: absent values stand as -1 or empty text there."""
+    given = {}
+    for column in fixed.GRID_KEYS:
+        name, read = _FIELDS.get(column, (column, lambda v: v))
+        given[name] = None if row[column] is None else read(row[column])
+    return models.Settings(**given, **extra)
 
 
 def with_corpus(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -31,6 +31,18 @@ def local_session(cores: str = "8", memory: str = "8g", **extra: str) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+
+    A cluster names its own; where the session names none, one inside the warehouse, which is shared too, is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scan that would leave most of them idle.
 
