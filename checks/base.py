@@ -304,6 +304,11 @@ def scores(spark, sf) -> DataFrame:
     return features.score_labels(weights(spark, sf), c, INTERCEPTS, records=records(spark, sf))
 
 
+def score_lists(spark, sf) -> DataFrame:
+    c = spark.createDataFrame(COEFS, "term string, code string, coef double")
+    return features.score_lists(weights(spark, sf), c, INTERCEPTS, records=records(spark, sf))
+
+
 def class_scores(spark, sf) -> DataFrame:
     code = mapped(F.col("code"), CODE_CLASS)
     return scores(spark, sf).withColumn("code", code).where(F.col("code").isNotNull())

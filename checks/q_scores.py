@@ -15,6 +15,7 @@ from checks.base import (
     metrics_sql,
     query,
     rows6,
+    score_lists,
     scores,
     table,
     tags,
@@ -70,17 +71,17 @@ def _joined(df, col="predicted_codes"):
 
 @query("decide_threshold", _decided_sql("false"), ("records", "ranks"))
 def decide_threshold(spark, sf):
-    return _joined(decide.decide_threshold(scores(spark, sf), 0.2))
+    return _joined(decide.decide_threshold(score_lists(spark, sf), 0.2))
 
 
 @query("decide_top_k", _decided_sql("s.rn <= 2"), ("records", "ranks"))
 def decide_top_k(spark, sf):
-    return _joined(decide.decide_top_k(scores(spark, sf), 0.2, 2))
+    return _joined(decide.decide_top_k(score_lists(spark, sf), 0.2, 2))
 
 
 @query("decide_max_score", _decided_sql("s.rn = 1 AND s.score >= 0.14"), ("records", "ranks"))
 def decide_max_score(spark, sf):
-    return _joined(decide.decide_max_score(scores(spark, sf), 0.2, 0.14))
+    return _joined(decide.decide_max_score(score_lists(spark, sf), 0.2, 0.14))
 
 
 def _hybrid_sql(add: str) -> str:
@@ -91,10 +92,12 @@ def _hybrid_sql(add: str) -> str:
 
 
 def _aligned(spark, sf):
+    """One ranked list per record with its rule codes beside it."""
     from checks.base import corpus
 
-    rule_eval = rules.tag_sets(corpus(spark, sf), RULES, out="predicted_codes").select("org_id", "predicted_codes")
-    return joins.align_predictions(decide.decide_threshold(scores(spark, sf), 0.2), rule_eval)
+    by_rules = rules.tag_sets(corpus(spark, sf), RULES, out="rule_codes").select("org_id", "rule_codes")
+    lists = score_lists(spark, sf).withColumn("model_codes", decide.decided(F.col("ranked"), 0.2))
+    return lists.join(by_rules, "org_id")
 
 
 @query("hybrid_fallback", _hybrid_sql("(SELECT count(*) FROM ranks c WHERE c.org_id = r.org_id AND c.score >= 0.2) <= 1"), ("records", "ranks", "tags"))
@@ -104,12 +107,12 @@ def hybrid_fallback(spark, sf):
 
 @query("hybrid_high_conf", _hybrid_sql("(SELECT max(score) FROM ranks c WHERE c.org_id = r.org_id) >= 0.25"), ("records", "ranks", "tags"))
 def hybrid_high_conf(spark, sf):
-    return _joined(decide.hybrid_high_conf(_aligned(spark, sf), scores(spark, sf)))
+    return _joined(decide.hybrid_high_conf(_aligned(spark, sf)))
 
 
 @query("hybrid_gated", _hybrid_sql("coalesce(s.score, 0) >= 0.12"), ("records", "ranks", "tags"))
 def hybrid_gated(spark, sf):
-    return _joined(decide.hybrid_gated(_aligned(spark, sf), scores(spark, sf), 0.12))
+    return _joined(decide.hybrid_gated(_aligned(spark, sf), label_conf=0.12))
 
 
 _RESTRICTED = """,
@@ -187,7 +190,7 @@ def scored_rows(spark, sf):
     g = gold(spark, sf)
     key = params(spark).select("fit_key").distinct().scalar()
     ev = rules.tag_by_rules_eval(g, RULES).select("org_id", "true_codes", F.col("predicted_codes").alias("rule_codes"))
-    rows = ev.join(decide.ranked_scores(scores(spark, sf)), "org_id").withColumn("fit_key", key)
+    rows = ev.join(score_lists(spark, sf), "org_id").withColumn("fit_key", key)
     ids = g.select("org_id")
     picked = None
     for seed in (42, 67):
@@ -260,7 +263,7 @@ guess AS (SELECT 'regex' AS approach, org_id, code FROM tags WHERE org_id IN (SE
 @query("compare_approaches", _COMPARE + f"\nSELECT approach, rows, {METRIC_SQL}, round({OBJECTIVE_SQL}, 6) AS weighted_primary FROM measured")
 def compare_approaches(spark, sf):
     by_rules = eval_rows(spark, sf)
-    s = decide.ranked_scores(scores(spark, sf))
+    s = score_lists(spark, sf)
     model = by_rules.select("org_id", "true_codes").join(s, "org_id").withColumn("predicted_codes", decide.decided(F.col("ranked"), 0.2))
     evals = {
         "regex": by_rules,

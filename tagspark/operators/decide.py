@@ -22,7 +22,9 @@ HYBRID_RULES = ("ovr_regex_fallback", "high_conf_union", "label_conf_gated_regex
 def ranked_scores(
     scores: DataFrame, id: str = "org_id", by: Sequence[str] = (), out: str = "ranked"
 ) -> DataFrame:
-    """Per record, its scores as a list: highest first, then by code."""
+    """Per record, its scores as a list: highest first, then by code; lists pass as they are."""
+    if "ranked" in scores.columns:
+        return scores.withColumnRenamed("ranked", out)
     item = F.struct((-F.col("score")).alias("neg"), F.col("code").alias("code"))
     return scores.groupBy(*by, id).agg(F.array_sort(F.collect_list(item)).alias(out))
 
@@ -125,17 +127,19 @@ def hybrid_fallback(aligned: DataFrame, max_labels: int = fixed.HYBRID_MAX_LABEL
 
 
 def hybrid_high_conf(
-    aligned: DataFrame, scores: DataFrame, row_conf: float = fixed.HYBRID_ROW_CONFIDENCE
+    aligned: DataFrame, scores: DataFrame | None = None, row_conf: float = fixed.HYBRID_ROW_CONFIDENCE
 ) -> DataFrame:
-    """Add rule codes when the record's best score is high enough."""
-    return combine_hybrid(aligned, ranked_scores(scores), "high_conf_union", row_conf=row_conf)
+    """Add rule codes when the record's best score is high enough; rows may carry ``ranked`` themselves."""
+    lists = None if scores is None else ranked_scores(scores)
+    return combine_hybrid(aligned, lists, "high_conf_union", row_conf=row_conf)
 
 
 def hybrid_gated(
-    aligned: DataFrame, scores: DataFrame, label_conf: float = fixed.HYBRID_LABEL_CONFIDENCE
+    aligned: DataFrame, scores: DataFrame | None = None, label_conf: float = fixed.HYBRID_LABEL_CONFIDENCE
 ) -> DataFrame:
     """Add each rule code whose own score is high enough; an unknown one scores 0."""
-    return combine_hybrid(aligned, ranked_scores(scores), "label_conf_gated_regex", label_conf=label_conf)
+    lists = None if scores is None else ranked_scores(scores)
+    return combine_hybrid(aligned, lists, "label_conf_gated_regex", label_conf=label_conf)
 
 
 def tag_restricted_class(

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.operators.joins import hot_key_join
 
-# Above this many coefficients the model side of a score join is salted
-# instead of broadcast.
-BROADCAST_COEFS = 2_000_000
-SALTS = 16
+# Coefficients that are broadcast at a time in a score join.
+BLOCK_COEFS = 2_000_000
 
 
 def term_counts(
@@ -66,7 +64,7 @@ def class_weights(labels: DataFrame, n_records: DataFrame, mode: str = "balanced
     return counts.select("label", "n_label", pos.alias("positive"), neg.alias("negative"))
 
 
-def score_labels(
+def score_lists(
     terms: DataFrame,
     coefs: DataFrame,
     intercepts: Mapping[str, float],
@@ -74,35 +72,52 @@ def score_labels(
     records: DataFrame | None = None,
     id: str = "org_id",
 ) -> DataFrame:
-    """Score of every record and label: probability (``sigmoid``) or ``margin``.
+    """``(id, ranked)``: the scores of a record's labels in one list, best first, as decisions read them.
+
+    ``terms`` is ``(id, term, weight)``, ``coefs`` is ``(term, code, coef)``. Scores are probabilities
+    (``sigmoid``) or ``margin``. Records without a known term score by the intercept alone; pass
+    ``records`` so that those without any term are kept too.
 
-    ``terms`` is ``(id, term, weight)``, ``coefs`` is ``(term, code, coef)``.
-    Records without a known term score by the intercept alone; pass ``records``
-    so that those without any term are kept too. Products are summed per task
-    before the one shuffle. Action: counts ``coefs`` to choose the join.
+    Coefficients meet the terms in broadcasts of at most ``BLOCK_COEFS`` each, one after the other, so terms
+    stay where they are, however frequent one is, and sums by record need no shuffle if terms lie by record.
+    Action: counts ``coefs``.
     """
     if link not in ("sigmoid", "margin"):
         raise ValueError(f"unknown link {link!r}")
-    if coefs.count() <= BROADCAST_COEFS:
-        hits = terms.join(F.broadcast(coefs), "term")
-    else:
-        # A frequent term may hold a third of the rows: spread both sides.
-        salt = F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int")
-        all_salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        hits = terms.withColumn("_salt", salt).join(coefs.withColumn("_salt", all_salts), ["term", "_salt"])
-    parts = hits.select(id, "code", (F.col("weight") * F.col("coef")).alias("_part"))
-    starts = F.array(
-        *[
-            F.struct(F.lit(code).alias("code"), F.lit(float(b)).alias("_part"))
-            for code, b in sorted(intercepts.items())
-        ]
-    )
-    who = terms.select(id).distinct() if records is None else records.select(id)
-    base = who.select(id, F.explode(starts).alias("_s")).select(id, "_s.*")
-    margin = parts.unionByName(base).groupBy(id, "code").agg(F.sum("_part").alias("score"))
-    if link == "margin":
-        return margin
-    return margin.withColumn("score", 1.0 / (1.0 + F.exp(-F.col("score"))))
+    blocks = max(1, -(-coefs.count() // BLOCK_COEFS))
+    packed = coefs.groupBy("term").agg(F.collect_list(F.struct("code", "coef")).alias("_c"))
+    hits = terms
+    for i in range(blocks):
+        own = packed if blocks == 1 else packed.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)
+        hits = hits.join(F.broadcast(own.withColumnRenamed("_c", f"_c{i}")), "term", "left")
+    met = F.coalesce(*[f"_c{i}" for i in range(blocks)])
+    rows = hits.select(id, "weight", F.explode_outer(met).alias("_x"))
+    sums = rows.groupBy(id, F.col("_x.code").alias("code")).agg(F.sum(F.col("weight") * F.col("_x.coef")).alias("_part"))
+    found = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "_part")))
+    lists = sums.groupBy(id).agg(F.map_from_entries(found).alias("_sums"))
+    if records is not None:
+        lists = records.select(id).join(lists, id, "left")
+    starts = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(float(b)).alias("b")) for c, b in sorted(intercepts.items())])
+
+    def scored(start):
+        margin = start["b"] + F.coalesce(F.try_element_at("_sums", start["code"]), F.lit(0.0))
+        value = margin if link == "margin" else 1.0 / (1.0 + F.exp(-margin))
+        return F.struct((-value).alias("neg"), start["code"].alias("code"))
+
+    return lists.select(id, F.array_sort(F.transform(starts, scored)).alias("ranked"))
+
+
+def score_labels(
+    terms: DataFrame,
+    coefs: DataFrame,
+    intercepts: Mapping[str, float],
+    link: str = "sigmoid",
+    records: DataFrame | None = None,
+    id: str = "org_id",
+) -> DataFrame:
+    """The lists of :func:`score_lists` as rows: ``(id, code, score)``."""
+    rows = explode_rows(score_lists(terms, coefs, intercepts, link, records, id), [id], "ranked", "_s")
+    return rows.select(id, F.col("_s.code").alias("code"), (-F.col("_s.neg")).alias("score"))
 
 
 def naive_bayes_sql(
@@ -147,29 +162,31 @@ def naive_bayes_sql(
     lift = seen.select(*keys, label, "term", "_c", (F.log(F.col("_c") + alpha) - F.log(F.lit(alpha))).alias("_lift"))
     packed = lift.groupBy(*keys, "term").agg(
         F.collect_list(F.struct(F.col(label).alias("code"), "_lift")).alias("_lifts"),
-        F.sum("_c").cast("long").alias("_rows"),
+        F.count(F.lit(1)).alias("_classes"),
     )
     if keys:
-        known = test_terms.join(packed, [*keys, "term"])
+        name = F.concat_ws("\x01", *[F.col(k).cast("string") for k in keys], "term")
     else:
-        # Training counts tell which terms are frequent in new text too.
-        known = hot_key_join(test_terms, packed, "term", "_rows", ["_lifts"], id)
-    hits = (
-        known.select(*keys, id, value, F.explode("_lifts").alias("_l"))
-        .groupBy(*keys, id, F.col("_l.code").alias("code"))
-        .agg(F.sum(F.col(value) * F.col("_l._lift")).alias("_lifted"))
-    )
-    mass = known.groupBy(*keys, id).agg(F.sum(value).alias("_mass"))
+        name = F.col("term")
+    # How frequent a term is in the new text decides which terms are spread.
+    named = test_terms.withColumn("_term_key", name)
+    frequent = named.groupBy("_term_key").agg(F.count(F.lit(1)).alias("_rows"))
+    dim = packed.withColumn("_term_key", name).join(frequent, "_term_key").select("_term_key", "_rows", "_lifts")
+    known = hot_key_join(named, dim, "_term_key", "_rows", ["_lifts"], id)
+    # One more entry beside the classes adds up the record's own mass.
+    own = F.struct(F.lit(None).cast(lift.schema[label].dataType).alias("code"), F.lit(1.0).alias("_lift"))
+    rows = known.select(*keys, id, value, F.explode(F.concat("_lifts", F.array(own))).alias("_l")).repartition(id)
+    sums = rows.groupBy(*keys, id, F.col("_l.code").alias("code")).agg(F.sum(F.col(value) * F.col("_l._lift")).alias("_s"))
+    lifted = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "_s")))
+    mass = F.sum(F.when(F.col("code").isNull(), F.col("_s")))
+    records = sums.groupBy(*keys, id).agg(F.map_from_entries(lifted).alias("_lifted"), mass.alias("_mass"))
     listed = F.collect_list(F.struct(F.col(label).alias("code"), "_prior", "_log_floor"))
     if keys:
-        spread = mass.join(classes.groupBy(*keys).agg(listed.alias("_cls")), keys)
+        spread = records.join(classes.groupBy(*keys).agg(listed.alias("_cls")), keys)
     else:
-        spread = mass.withColumn("_cls", classes.agg(listed.alias("c")).scalar())
-    frame = spread.select(*keys, id, "_mass", F.explode("_cls").alias("_x")).select(
-        *keys, id, "_mass", "_x.*"
-    )
-    scored = frame.join(hits, [*keys, id, "code"], "left")
-    score = F.col("_prior") + F.coalesce("_lifted", F.lit(0.0)) + F.col("_mass") * (
-        F.log(F.lit(alpha)) - F.col("_log_floor")
+        spread = records.withColumn("_cls", classes.agg(listed.alias("c")).scalar())
+    score = F.col("_x._prior") + F.coalesce(F.try_element_at("_lifted", F.col("_x.code")), F.lit(0.0)) + F.col("_mass") * (
+        F.log(F.lit(alpha)) - F.col("_x._log_floor")
     )
-    return scored.select(*keys, id, "code", score.alias("score"))
+    frame = spread.select(*keys, id, "_mass", "_lifted", F.explode("_cls").alias("_x"))
+    return frame.select(*keys, id, F.col("_x.code").alias("code"), score.alias("score"))
