@@ -11,6 +11,7 @@ from tagspark import fixed
 from tagspark.functions.codes import band, explode_rows
 from tagspark.functions.text import flatten_newlines, regnumber_to_orgid, text_corpus
 from tagspark.operators import aggregates, decide, joins, models, ranking, registry, rules
+from tagspark.plans import registers
 from tagspark.sources.readers import records_to_table
 
 
@@ -32,6 +33,17 @@ def job_unify(
     return out
 
 
+def job_unify_raw(
+    raw: Mapping[str, Mapping[str, DataFrame]], top_kept: DataFrame | None = None,
+    n_top: int = fixed.LARGEST_RECORDS, as_of=None,
+) -> dict[str, DataFrame]:
+    """The same from raw registers: source -> its tables by name, the register itself under ``main``."""
+    tables = [
+        registers.unified(registers.REGISTERS[source], parts["main"], parts, as_of) for source, parts in raw.items()
+    ]
+    return job_unify(tables, top_kept, n_top)
+
+
 def _finished(tags: DataFrame, records: DataFrame, taxonomy: DataFrame | None, ordered: bool) -> DataFrame:
     out = tags.distinct()
     if taxonomy is not None:
