@@ -113,17 +113,29 @@ def stopwords(spark, sf):
 _LEX = """SELECT DISTINCT s.term AS surface, b.term AS lemma FROM dfs s JOIN dfs b ON s.term = b.term || 's'"""
 
 
-@query("lemma_lookup", f"""SELECT org_id, array_to_string(list(coalesce(x.lemma, t.term) ORDER BY pos), ' ') AS lemmas FROM
-  (SELECT org_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM
-    (SELECT org_id, regexp_extract_all(lower(corpus), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM corpus)) t
-  LEFT JOIN ({_LEX}) x ON t.term = x.surface GROUP BY org_id""", ("dfs", "corpus"))
-def lemma_lookup(spark, sf):
+def _lexicon(spark, sf):
     from checks.base import term_table
 
     known = term_table(spark, sf).select("term").distinct()
-    lexicon = known.select((F.concat("term", F.lit("s"))).alias("surface"), F.col("term").alias("lemma")).join(
+    return known.select((F.concat("term", F.lit("s"))).alias("surface"), F.col("term").alias("lemma")).join(
         known.select(F.col("term").alias("surface")), "surface"
     )
+
+
+@query("clean_text_lexicon", f"""SELECT c.org_id, coalesce((SELECT string_agg(coalesce(x.lemma, t.term), ' ' ORDER BY pos) FROM
+  (SELECT unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT list_filter(string_split({clean_sql('c.corpus')}, ' '), lambda v: v <> '') AS w)) t
+  LEFT JOIN ({_LEX}) x ON t.term = x.surface), '') AS cleaned FROM corpus c""", ("dfs", "corpus"))
+def clean_text_lexicon(spark, sf):
+    out = text_ops.cleaned(corpus(spark, sf), "corpus", _lexicon(spark, sf), out="cleaned")
+    return out.select("org_id", "cleaned")
+
+
+@query("lemma_lookup", f"""SELECT org_id, array_to_string(list(coalesce(x.lemma, t.term) ORDER BY pos), ' ') AS lemmas FROM
+  (SELECT org_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM
+    (SELECT org_id, regexp_extract_all(lower(corpus), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM corpus)) t
+  LEFT JOIN ({_LEX}) x ON t.term = x.surface GROUP BY org_id""", ("dfs", "corpus"))
+def lemma_lookup(spark, sf):
+    lexicon = _lexicon(spark, sf)
     rows = corpus(spark, sf).select("org_id", tx.word_tokens(F.col("corpus")).alias("tokens"))
     out = text_ops.lemma_lookup(rows, "tokens", lexicon)
     return out.select("org_id", F.array_join("lemmas", " ").alias("lemmas"))

@@ -264,11 +264,13 @@ guess AS (SELECT 'regex' AS approach, org_id, code FROM tags WHERE org_id IN (SE
 def compare_approaches(spark, sf):
     by_rules = eval_rows(spark, sf)
     s = score_lists(spark, sf)
-    model = by_rules.select("org_id", "true_codes").join(s, "org_id").withColumn("predicted_codes", decide.decided(F.col("ranked"), 0.2))
+    sets = by_rules.select("org_id", "true_codes", F.col("predicted_codes").alias("rule_codes"))
+    model = sets.join(s, "org_id").withColumn("predicted_codes", decide.decided(F.col("ranked"), 0.2))
+    both = decide.combined(F.col("predicted_codes"), F.col("rule_codes"), F.col("ranked"), "label_conf_gated_regex", label_conf=0.12)
     evals = {
         "regex": by_rules,
         "ovr_logistic": model,
-        "hybrid_logistic": workflow.hybrid_rows(model, by_rules, "label_conf_gated_regex", 0.12),
+        "hybrid_logistic": model.withColumn("predicted_codes", both),
     }
     return rows6(workflow.compare_evals(evals), *METRIC_COLS, "weighted_primary")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,15 +53,18 @@ def scan_csv(spark, sf):
     return readers.scan_csv(spark, path, _CUSTOMER)
 
 
-@query("scan_multi", """SELECT item_id AS id, replace(text, chr(10), ' ') AS text, CAST(0 AS INTEGER) AS file_ord FROM benchmark
-  UNION ALL SELECT doc_id, replace(text, chr(10), ' '), 1 FROM documents""")
+@query("scan_multi", """SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY id) AS place FROM
+  (SELECT item_id AS id, text, CAST(0 AS INTEGER) AS file_ord FROM benchmark UNION ALL SELECT doc_id, text, 1 FROM documents)""")
 def scan_multi(spark, sf):
+    """Texts keep their line breaks, and rows the order in which they stand in their file."""
     base = scratch(spark)
-    flat = F.translate("text", "\n", " ").alias("text")
-    sinks.sink_csv(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), flat), base + "/a")
-    sinks.sink_csv(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), flat), base + "/b")
+    for name, key, path in (("benchmark", "item_id", "/a"), ("documents", "doc_id", "/b")):
+        rows = table(spark, sf, name).select(F.col(key).alias("id"), "text").coalesce(1).sortWithinPartitions("id")
+        rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(base + path)
     kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
-    return readers.scan_multi(spark, [base + "/a", base + "/b"], kinds).drop("row_ord")
+    out = readers.scan_multi(spark, [base + "/a", base + "/b"], kinds, multi_line=True)
+    place = F.row_number().over(Window.partitionBy("file_ord").orderBy("row_ord"))
+    return out.withColumn("place", place.cast("long")).drop("row_ord")
 
 
 @query("scan_dayfirst", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, o_totalprice FROM orders""")
@@ -163,10 +167,35 @@ def save_split_info(spark, sf):
     return spark.read.schema(schema.SPLIT_INFO).json(path)
 
 
-@query("sink_grid", """SELECT lang AS grid_approach, count(*) AS rows FROM documents GROUP BY lang""")
+@query("sink_grid", """SELECT 'state' AS part, source AS grid_approach, CAST(n_chars AS BIGINT) AS rows FROM documents
+  UNION ALL SELECT 'summary', source, count(*) FROM documents GROUP BY source""")
 def sink_grid(spark, sf):
     path = scratch(spark) + "/grid"
-    per_state = table(spark, sf, "documents").select(F.col("lang").alias("grid_approach"), F.lit(1).alias("rows"))
-    summary = per_state.groupBy("grid_approach").agg(F.sum("rows").alias("rows"))
+    d = table(spark, sf, "documents")
+    per_state = d.select(F.col("source").alias("grid_approach"), F.col("n_chars").alias("rows"))
+    summary = per_state.groupBy("grid_approach").agg(F.count("*").alias("rows"))
     sinks.sink_grid(per_state, summary, path)
-    return spark.read.parquet(path + "/summary")
+    parts = [spark.read.parquet(f"{path}/{x}").select(F.lit(name).alias("part"), "grid_approach", "rows") for name, x in (("state", "per_state"), ("summary", "summary"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("best_settings", """SELECT v.*, l.n FROM (VALUES ('hybrid_logistic', 'name,activities', true, 0.3::DOUBLE, 0.05::DOUBLE, 'logistic', NULL),
+  ('ovr_sgd', 'name', false, 0.4::DOUBLE, NULL, 'sgd', 'log_loss')) AS v(approach, fields_key, clean_text, threshold, hybrid_conf, model_family, sgd_loss)
+  CROSS JOIN (SELECT count(*) AS n FROM labels) l""")
+def best_settings(spark, sf):
+    """Chosen settings stored, loaded as settings, stored again."""
+    from tagspark.operators.models import Settings
+    from tagspark.plans import grid
+
+    path = scratch(spark)
+    best = {
+        "hybrid_logistic": Settings(approach="hybrid_logistic", threshold=0.3, hybrid_conf=0.05, hybrid_rule="label_conf_gated_regex"),
+        "ovr_sgd": Settings(approach="ovr_sgd", fields=("name",), clean_text=False, model_family="sgd", sgd_loss="log_loss", sgd_alpha=1e-4, threshold=0.4),
+    }
+    grid.save_best(spark, best, path + "/one")
+    loaded = grid.load_best(spark, path + "/one")
+    assert loaded == best
+    grid.save_best(spark, loaded, path + "/two")
+    back = spark.read.schema(schema.BEST_SETTINGS).json(path + "/two")
+    n = table(spark, sf, "labels").agg(F.count("*").alias("n"))
+    return back.select("approach", "fields_key", "clean_text", "threshold", "hybrid_conf", "model_family", "sgd_loss").withColumn("n", n.scalar())

@@ -10,6 +10,7 @@ coefficient matrix, and nothing is shuffled.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -42,6 +43,8 @@ from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, word_tokens
 from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
+from tagspark.operators.text_ops import cleaned
+from tagspark.session import shared_folder
 
 # Coefficients that are sent to the executors at a time, in bytes; a larger matrix goes in blocks of labels.
 MAX_MATRIX_BYTES = 256 << 20
@@ -136,16 +139,22 @@ def featurise(df: DataFrame, text: str, s: Settings, model: PipelineModel, keep:
 
 
 def keep_for_fits(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that many fits read.
+    """Cut the lineage of a table that many fits read: it is written to the shared folder and read back,
+    so a lost executor costs no fit its input. ``release`` removes the files."""
+    path = f"{shared_folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
 
-    With a shared checkpoint folder it is written there and survives lost
-    executors; without one (local tests) it is only cached.
-    """
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files behind tables of :func:`keep_for_fits`; nothing may read them any more."""
+    for table in tables:
+        path = table._kept_at
+        jvm = table.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # --- linear one-vs-rest model -------------------------------------------------
@@ -161,11 +170,13 @@ class OvrModel:
     intercept: np.ndarray
     link: str  # sigmoid, margin or clipped
     info: dict = field(default_factory=dict)
+    lexicon: DataFrame | None = None  # base forms that cleaning looks up
 
     def text_of(self, df: DataFrame, corpus: str) -> DataFrame:
-        """The text the model reads: cleaned if it was trained on cleaned text."""
-        text = clean_text(F.col(corpus)) if self.settings.clean_text else F.col(corpus)
-        return df.withColumn("_text", text)
+        """The text the model reads: cleaned, and in base forms, as it was trained."""
+        if not self.settings.clean_text:
+            return df.withColumn("_text", F.col(corpus))
+        return cleaned(df, corpus, self.lexicon)
 
     def ranked(self, df: DataFrame, corpus: str = "corpus", keep: Sequence[str] = ("org_id",)) -> DataFrame:
         """``keep`` columns and the list of scores, best first."""
@@ -200,7 +211,11 @@ class OvrModel:
         spark.createDataFrame(
             rows, "position int, code string, coef array<double>, intercept double"
         ).write.mode("overwrite").parquet(f"{path}/labels")
-        meta = json.dumps({"settings": asdict(self.settings), "link": self.link, "info": self.info})
+        if self.lexicon is not None:
+            self.lexicon.select("surface", "lemma").write.mode("overwrite").parquet(f"{path}/lexicon")
+        meta = json.dumps(
+            {"settings": asdict(self.settings), "link": self.link, "info": self.info, "lexicon": self.lexicon is not None}
+        )
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/settings"
         )
@@ -218,6 +233,7 @@ class OvrModel:
             np.array([r["intercept"] for r in rows]),
             meta["link"],
             meta["info"],
+            spark.read.parquet(f"{path}/lexicon") if meta.get("lexicon") else None,
         )
 
 
@@ -284,13 +300,14 @@ def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "no
 
 def train_final(
     gold: DataFrame, s: Settings, corpus: str = "corpus", truth: str = "tags",
-    id: str = "org_id",
+    id: str = "org_id", lexicon: DataFrame | None = None,
 ) -> OvrModel:
-    """Fit the chosen settings on all labelled rows."""
-    text = clean_text(F.col(corpus)) if s.clean_text else F.col(corpus)
-    rows = gold.select(
-        id, text.alias("_text"), F.array_distinct(split_codes(F.col(truth))).alias("labels")
-    )
+    """Fit the chosen settings on all labelled rows.
+
+    A lexicon ``(surface, lemma)`` puts cleaned words in their base form; the model keeps it for scoring.
+    """
+    text = cleaned(gold, corpus, lexicon, id) if s.clean_text else gold.withColumn("_text", F.col(corpus))
+    rows = text.select(id, "_text", F.array_distinct(split_codes(F.col(truth))).alias("labels"))
     # Counting, weighting and fitting all read the tokens: make them once.
     tokens = keep_for_fits(_tokenised(rows, "_text", s))
     pipeline = feature_union(tokens, s)
@@ -306,10 +323,9 @@ def train_final(
             fitted = fit_ovr_sgd(kept, s.sgd_loss, s.sgd_alpha, s.class_weight_mode)
             link = "sigmoid" if s.sgd_loss == "log_loss" else "clipped"
     finally:
-        kept.unpersist()
-        tokens.unpersist()
+        release(kept, tokens)
     labels, coef, intercept, steps = fitted
-    return OvrModel(s, pipeline, labels, coef, intercept, link, {"steps": steps})
+    return OvrModel(s, pipeline, labels, coef, intercept, link, {"steps": steps}, lexicon if s.clean_text else None)
 
 
 # --- single-class models --------------------------------------------------------
@@ -402,8 +418,7 @@ def fit_class(
         ).fit(kept)
         fitted = learner(n).fit(index.transform(kept))
     finally:
-        kept.unpersist()
-        tokens.unpersist()
+        release(kept, tokens)
     back = IndexToString(inputCol="prediction", outputCol="class_code", labels=list(index.labels))
     return ClassModel(stages, PipelineModel([fitted, back]), clean)
 

@@ -144,24 +144,26 @@ def mark_first(
     ranked = border.withColumns({"_rn": F.row_number().over(w), "_first": F.rank().over(w)})
     # the cut, and how many of the rows equal to it are in
     cuts = ranked.where(F.col("_rn") == F.col("_rank")).select(*strata, F.col("_h").alias("_cut"), (F.col("_rn") - F.col("_first") + 1).alias("_equal"))
-    joined = _with_cuts(df, cuts, sizes, strata)
+    joined = _with_cuts(df, cuts, sizes, strata, key)
     marked = joined.withColumn("_key", key)
     below = marked.where((F.col("_key") < F.col("_cut")) | (F.col("_key") > F.col("_cut")) | F.col("_cut").isNull()).select(
         *df.columns, F.coalesce(F.col("_key") < F.col("_cut"), F.lit(False)).alias(out)
     )
     at = marked.where(F.col("_key") == F.col("_cut"))
     at = at.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata, "_key").orderBy("_key")))
-    return below.unionByName(at.select(*df.columns, (F.col("_rn") <= F.col("_equal")).alias(out)))
+    return below.union(at.select(*df.columns, (F.col("_rn") <= F.col("_equal")).alias(out)))
 
 
-def _with_cuts(df: DataFrame, cuts: DataFrame, sizes: DataFrame, strata: Sequence[str]) -> DataFrame:
+def _with_cuts(df: DataFrame, cuts: DataFrame, sizes: DataFrame, strata: Sequence[str], key: Column) -> DataFrame:
     """Every row with the cut of its stratum, if it has one, without moving rows by stratum.
 
     Cut values of few strata (counted) are broadcast; those of many go through ``hot_key_join``.
     """
     if not strata:
-        one = cuts.agg(F.max(F.struct("_cut", "_equal")).alias("c"))
-        return df.withColumn("_one", one.scalar()).select(*df.columns, F.col("_one._cut").alias("_cut"), F.col("_one._equal").alias("_equal"))
+        # the one cut joins on an empty text that stands for the whole table
+        rows = df.withColumn("_stratum", F.substring(key, 1, 0))
+        one = cuts.select(F.substring("_cut", 1, 0).alias("_stratum"), "_cut", "_equal")
+        return rows.join(F.broadcast(one), "_stratum", "left")
     name = F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})
     per = sizes.groupBy(*strata).agg(F.sum("_n").alias("_rows")).withColumn("_stratum", name)
     known = per.join(cuts.select(name.alias("_stratum"), "_cut", "_equal"), "_stratum", "left")

@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagspark.functions.codes import no_codes
+from tagspark.functions.text import clean_text, clean_words
+
+#: Entries of a lexicon that are broadcast at a time.
+BLOCK_ENTRIES = 500_000
+
 
 def lemma_lookup(
     df: DataFrame, tokens_col: str, lexicon: DataFrame, id: str = "org_id", out: str = "lemmas"
 ) -> DataFrame:
     """Tokens replaced by their base form ``(surface, lemma)``, order kept.
 
-    A lexicon is small beside a corpus, so Spark broadcasts it by its size; a
-    larger one is joined with run-time skew handling. Tokens travel once, to
-    come together again by record.
+    The lexicon meets the tokens in broadcasts of at most ``BLOCK_ENTRIES``, so a token that stands in
+    every record stays where it is. Tokens travel once, to come together again by record. A surface
+    listed several times takes its smallest lemma. Action: counts the lexicon.
     """
+    blocks = max(1, -(-lexicon.count() // BLOCK_ENTRIES))
+    entries = lexicon.groupBy(F.col("surface").alias("_token")).agg(F.min("lemma").alias("lemma"))
     rows = df.select(id, F.posexplode_outer(tokens_col).alias("_pos", "_token"))
-    joined = rows.join(lexicon.withColumnRenamed("surface", "_token"), "_token", "left")
-    item = F.struct("_pos", F.coalesce("lemma", "_token").alias("_lemma"))
-    lists = joined.groupBy(id).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    for i in range(blocks):
+        own = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("_token"), F.lit(blocks)) == i)
+        rows = rows.join(F.broadcast(own.withColumnRenamed("lemma", f"_l{i}")), "_token", "left")
+    lemma = F.coalesce(*[f"_l{i}" for i in range(blocks)], "_token")
+    lists = rows.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("_pos", lemma.alias("_lemma")))).alias("_l"))
     words = F.transform("_l", lambda x: x["_lemma"])
     return lists.select(id, F.array_compact(words).alias(out))
+
+
+def cleaned(
+    df: DataFrame, corpus: str, lexicon: DataFrame | None = None, id: str = "org_id", out: str = "_text"
+) -> DataFrame:
+    """``df`` with the cleaned text, its words in base form if there is a lexicon."""
+    if lexicon is None:
+        return df.withColumn(out, clean_text(F.col(corpus)))
+    words = df.select(id, clean_words(F.col(corpus)).alias("_words"))
+    lemmas = lemma_lookup(words, "_words", lexicon, id, "_lemmas")
+    joined = df.join(lemmas, id, "left")
+    return joined.withColumn(out, F.array_join(F.coalesce("_lemmas", no_codes()), " ")).drop("_lemmas")

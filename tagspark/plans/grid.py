@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark import fixed
+from tagspark import fixed, schema
 from tagspark.operators import aggregates, decide, metrics, models, ranking, rules
+from tagspark.session import shared_folder
 
 #: Settings that meet the scores in one broadcast; more are swept block by block.
 BLOCK_SETTINGS = 50_000
@@ -147,6 +149,28 @@ def settings_of(row, **extra) -> models.Settings:
     return models.Settings(**given, **extra)
 
 
+def settings_row(s: models.Settings) -> dict:
+    """Settings as a row of ``schema.BEST_SETTINGS``."""
+    return {name: ",".join(s.fields) if name == "fields_key" else getattr(s, name) for name in schema.BEST_SETTINGS.fieldNames()}
+
+
+def save_best(spark: SparkSession, best: Mapping[str, models.Settings], path: str) -> None:
+    """Chosen settings, one row per approach."""
+    rows = [tuple(settings_row(s).values()) for _, s in sorted(best.items())]
+    out = spark.createDataFrame(rows, schema.BEST_SETTINGS).coalesce(1)
+    out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_best(spark: SparkSession, path: str) -> dict[str, models.Settings]:
+    """Stored settings by approach, ready to train and judge with."""
+    found = {}
+    for row in spark.read.schema(schema.BEST_SETTINGS).json(path).collect():
+        given = row.asDict()
+        fields = tuple(x for x in given.pop("fields_key").split(",") if x)
+        found[row["approach"]] = models.Settings(fields=fields, **given)
+    return found
+
+
 def with_corpus(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     from tagspark.functions.text import text_corpus
 
@@ -162,24 +186,23 @@ def score_fits(
     Actions: one fit per key and seed, each a series of Spark jobs. Settings
     that only change how scores are read do not cause a fit.
     """
+    spark = gold.sparkSession
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
     keys = params.dropDuplicates(["fit_key"]).orderBy("fit_key").collect()
-    out = None
     for seed in seeds:
         dev, test = ranking.split_holdout(gold, "org_id", test_size, seed)
-        dev, test = models.keep_for_fits(dev), models.keep_for_fits(test)
+        judged = rules.tag_by_rules_eval(with_corpus(test, fixed.DEFAULT_FIELDS), rule_list, include_groups)
+        codes = judged.select("org_id", "true_codes", F.col("predicted_codes").alias("rule_codes"))
+        # rules run once per seed; their codes travel beside the texts through every fit
+        dev, test = models.keep_for_fits(dev), models.keep_for_fits(test.join(codes, "org_id"))
         for row in keys:
             s = settings_of(row)
-            held = with_corpus(test, s.fields)
             model = models.train_final(with_corpus(dev, s.fields), s)
-            judged = rules.tag_by_rules_eval(
-                with_corpus(test, fixed.DEFAULT_FIELDS), rule_list, include_groups
-            ).select("org_id", "true_codes", F.col("predicted_codes").alias("rule_codes"))
-            part = model.ranked(held).join(judged, "org_id").select(
-                F.lit(seed).alias("seed"), F.lit(row["fit_key"]).alias("fit_key"),
-                "org_id", "true_codes", "rule_codes", "ranked",
-            )
-            out = part if out is None else out.unionByName(part)
-    return out
+            ranked = model.ranked(with_corpus(test, s.fields), keep=["org_id", "true_codes", "rule_codes"])
+            # written fit by fit: the plan of the sweep does not grow with their number
+            ranked.select(F.lit(seed).alias("seed"), F.lit(row["fit_key"]).alias("fit_key"), *ranked.columns).write.mode("append").parquet(path)
+        models.release(dev, test)
+    return spark.read.parquet(path)
 
 
 def run_grid(

@@ -47,9 +47,18 @@ def model_rows(model: models.OvrModel, test: DataFrame) -> DataFrame:
     return out.withColumn("prediction_source", F.lit("ml_model_holdout_ovr"))
 
 
-def hybrid_rows(model_eval: DataFrame, rule_eval: DataFrame, rule: str, label_conf: float) -> DataFrame:
-    aligned = joins.align_predictions(model_eval, rule_eval)
-    return decide.combine_hybrid(aligned, None, rule, label_conf=label_conf)
+def hybrid_rows(
+    model: models.OvrModel, test: DataFrame, rule_list: Sequence[rules.Rule], rule: str, label_conf: float,
+    include_groups: bool = False,
+) -> DataFrame:
+    """Evaluation rows of a hybrid: rules and model read the same row, so nothing is joined."""
+    held = grid.with_corpus(test, fixed.DEFAULT_FIELDS)
+    sets = rules.tag_sets(held, rule_list, include_groups=include_groups, out="rule_codes").drop("corpus")
+    truth = code_set(split_codes(F.col("tags")))
+    rows = grid.with_corpus(sets, model.settings.fields).withColumn("true_codes", truth)
+    out = model.predict(rows, keep=["org_id", "true_codes", "rule_codes"])
+    final = decide.combined(F.col("predicted_codes"), F.col("rule_codes"), F.col("ranked"), rule, label_conf=label_conf)
+    return out.select("org_id", "true_codes", final.alias("predicted_codes"), F.lit(f"hybrid_{rule}").alias("prediction_source"))
 
 
 def _measured(eval_rows: DataFrame, approach: str, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -67,16 +76,19 @@ def compare_evals(evals: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _approach_evals(
-    train: DataFrame, test: DataFrame, rule_eval: DataFrame, configs: Mapping[str, models.Settings]
+    train: DataFrame, test: DataFrame, rule_list: Sequence[rules.Rule], configs: Mapping[str, models.Settings],
+    include_groups: bool = False,
 ) -> dict[str, DataFrame]:
     evals = {}
     for name, s in configs.items():
-        rows = model_rows(models.train_final(grid.with_corpus(train, s.fields), s), test)
+        model = models.train_final(grid.with_corpus(train, s.fields), s)
         if name.startswith("hybrid"):
             rows = hybrid_rows(
-                rows, rule_eval, s.hybrid_rule or "label_conf_gated_regex",
-                s.hybrid_conf if s.hybrid_conf is not None else fixed.HYBRID_LABEL_CONFIDENCE,
+                model, test, rule_list, s.hybrid_rule or "label_conf_gated_regex",
+                s.hybrid_conf if s.hybrid_conf is not None else fixed.HYBRID_LABEL_CONFIDENCE, include_groups,
             )
+        else:
+            rows = model_rows(model, test)
         evals[name] = rows
     return evals
 
@@ -90,7 +102,7 @@ def compare_approaches(
     dev, test = ranking.split_holdout(gold, "org_id", test_size, seed)
     dev, test = models.keep_for_fits(dev), models.keep_for_fits(test)
     by_rules = rule_rows(test, rule_list, include_groups)
-    return compare_evals({"regex": by_rules, **_approach_evals(dev, test, by_rules, configs)})
+    return compare_evals({"regex": by_rules, **_approach_evals(dev, test, rule_list, configs, include_groups)})
 
 
 def eval_rules_full(
@@ -144,15 +156,36 @@ def final_holdout(
     joins.require_disjoint(dev, test)
     dev, test = models.keep_for_fits(dev), models.keep_for_fits(test)
     by_rules = rule_rows(test, rule_list, include_groups)
-    return compare_evals({"regex": by_rules, **_approach_evals(dev, test, by_rules, best)})
+    return compare_evals({"regex": by_rules, **_approach_evals(dev, test, rule_list, best, include_groups)})
+
+
+def train_stored(
+    gold: DataFrame, path: str, approach: str, lexicon: DataFrame | None = None
+) -> models.OvrModel:
+    """Fit the stored settings of an approach on all labelled rows."""
+    s = grid.load_best(gold.sparkSession, path)[approach]
+    return models.train_final(grid.with_corpus(gold, s.fields), s, lexicon=lexicon)
+
+
+def final_holdout_stored(
+    dev: DataFrame, test: DataFrame, rule_list: Sequence[rules.Rule], path: str, include_groups: bool = False
+) -> DataFrame:
+    """:func:`final_holdout` of the stored settings."""
+    return final_holdout(dev, test, rule_list, grid.load_best(dev.sparkSession, path), include_groups)
 
 
 def full_workflow(
     dev: DataFrame, test: DataFrame, rule_list: Sequence[rules.Rule], params: DataFrame,
     seeds: Sequence[int] = tuple(fixed.GRID_SEEDS), metric: str = "weighted_primary",
-    specs=tuple(fixed.GUARDRAILS), test_size: float = fixed.TEST_SHARE,
+    specs=tuple(fixed.GUARDRAILS), test_size: float = fixed.TEST_SHARE, store: str | None = None,
 ) -> tuple[dict[str, models.Settings], DataFrame]:
-    """Search on the development rows, then judge the winners on the test rows."""
+    """Search on the development rows, then judge the winners on the test rows.
+
+    With ``store``, the winners are saved there, and what is judged is what was read back.
+    """
     summary = grid.summarise(grid.run_grid(dev, rule_list, params, seeds, test_size))
     best = grid.pick_best(summary, metric, specs=specs)
+    if store is not None:
+        grid.save_best(dev.sparkSession, best, store)
+        best = grid.load_best(dev.sparkSession, store)
     return best, final_holdout(dev, test, rule_list, best)

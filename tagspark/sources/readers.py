@@ -152,11 +152,12 @@ def scan_multi(
     schema: T.StructType,
     date_cols: Sequence[str] = (),
     date_pattern: str = ISO,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Several CSV files stacked, with ``file_ord`` and ``row_ord``.
 
-    ``row_ord`` grows along each file: the start of the block a row was read
-    from, then its place in that block.
+    ``row_ord`` grows along each file: the start of the block a row was read from, then its place in that
+    block. ``multi_line`` reads line breaks inside quotes, each file in one task (see :func:`scan_csv`).
     """
     place = F.struct(
         F.col("_metadata.file_block_start").alias("block"),
@@ -164,7 +165,7 @@ def scan_multi(
     )
     tables = []
     for path in paths:
-        raw = _read_csv(spark, path)
+        raw = _read_csv(spark, path, multi_line=multi_line)
         tables.append(
             raw.select(*_typed(raw, schema, date_cols, date_pattern), place.alias("row_ord"))
         )
