@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
@@ -11,21 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagspark.session import shared_folder as shared_dir
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
+_LIBC = ctypes.CDLL(None)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a temporary one is set; a cluster names its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +62,14 @@ def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def settle() -> None:
+    """Give memory that a batch has used back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch of about ``most`` text bytes each, one row at least; bounds what a worker holds."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
@@ -80,6 +80,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+    settle()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:

@@ -22,9 +22,9 @@ from tagspark.llm.common import aside, bounded_sample, crc_bucket, slices, table
 PER_LANGUAGE = 1000
 GRAMS = 200_000
 PENALTY = 6.0
-CACHE = 200_000
+CACHE = 150_000
 #: Tokens scored together, and characters labelled together; they bound what a worker holds.
-LEARNED, LABELLED = 16_384, 1 << 20
+LEARNED, LABELLED = 8_192, 1 << 20
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SPECIES = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK")
 

@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import aside, keep, slices, table
+from tagspark.llm.common import aside, keep, settle, slices, table
 from tagspark.llm.sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 48
 #: Starts in a segment at most; longer runs of one hash are cut.
 RUN = 1024
 #: Different segments of one hash beyond which it is cut finer; bytes of a shard; starts of a finer cut.
-HOT, SHARD, STEP = 2000, 1 << 20, 16
+HOT, SHARD, STEP = 2000, 640 << 10, 16
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Stands between segments; no UTF-8 text holds it.
 BREAK = b"\xff"
@@ -140,6 +140,7 @@ def _sorted_shards(segs: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
+            settle()
         if held:
             yield out(held)
 
@@ -154,10 +155,19 @@ def _finer(segs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     equal strings come into cuts of the same distances; those are dealt by the bytes that all their starts share.
     """
 
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def table_of(out):
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "seg", "times", "shift", "h2", "seg2", "text"])
+
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for h, seg, times, text in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "times", "text")), strict=True):
+                if len(out) >= 1 << 13:
+                    yield table_of(out)
+                    out = []
                 if step == 1:
                     for a in range(len(text) - length + 1):
                         key = xxhash.xxh3_64_intdigest(text[a : a + length]) - (1 << 63)
@@ -174,9 +184,8 @@ def _finer(segs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
                     cut = text[a : e - 1 + length]
                     key = xxhash.xxh3_64_intdigest(shared, seed=g + 1) - (1 << 63)
                     out.append((h, seg, times, a, key, xxhash.xxh3_64_intdigest(cut) - (1 << 63), cut))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "seg", "times", "shift", "h2", "seg2", "text"])
+            yield table_of(out)
+            settle()
 
     return segs.select("h", "seg", "times", "text").mapInArrow(run, "h long, seg long, times long, shift int, h2 long, seg2 long, text binary")
 
@@ -221,10 +230,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             for row, z in zip(batch.column("row").to_pylist(), batch.column("z").to_pylist(), strict=True):
                 if z is not None:
                     out += [(row, *x) for x in segments(unzip.decompress(z), length, gram)]
-                if len(out) >= 1 << 16:
+                if len(out) >= 1 << 14:
                     yield _places(out)
                     out = []
             yield _places(out)
+            settle()
 
     places = keep(wide.select("row", "z").mapInArrow(place, PLACES), "places")
     # written, so that a frequent hash meets it in a plain join, which adaptive execution splits
@@ -285,6 +295,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool
                     gone.append([{"first": a, "last": e} for a, e in runs])
                 whole = pa.array([x.decode("utf-8", "ignore") for x in stay], pa.string()) if as_text else pa.array(stay, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), whole, pa.array(sizes, pa.int64()), pa.array(gone, batch.schema.field("spans").type)], result.names)
+            settle()
 
     return src.mapInArrow(remove, result)
 
