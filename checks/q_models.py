@@ -1,14 +1,20 @@
-"""Queries that fit models: checked for shape here, for results in tests."""
+"""Queries that fit models: SQL checks their labels, optimality, features and what fixed coefficients yield."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from checks.base import RULES, gold, query, records, scratch, stacked, taxonomy
-from tagspark.functions.codes import join_codes
+from checks.base import GROUPED, RULES, cte, gold, query, records, scratch, stacked, taxonomy, with_ctes
+from tagspark import fixed
 from tagspark.operators import joins, metrics, models, ranking
 from tagspark.plans import grid, jobs, workflow
 
+cte("gt", "SELECT DISTINCT org_id, unnest(regexp_extract_all(lower(corpus), '[\\p{L}\\p{N}_]{2,}')) AS term FROM gold", ("gold",))
+
 LOGISTIC = models.Settings(clean_text=False, model_c=10.0, threshold=0.3, fallback_mode="top_k", top_k_fallback=1)
 HYBRID = models.Settings(
     approach="hybrid_logistic", clean_text=False, model_c=10.0, threshold=0.3, hybrid_rule="label_conf_gated_regex", hybrid_conf=0.05
@@ -22,49 +28,98 @@ LOG_SGD = models.Settings(
 )
 
 
-def _predictions(spark, sf, s):
+def _derivative(loss: str, y, p):
+    """Slope of the loss of label ``y`` (1 or -1) at margin ``p``, as the textbook has it."""
+    z = y * p
+    if loss == "logistic":
+        return -y / (1 + F.exp(z))
+    if loss == "squared_hinge":
+        return -2 * y * F.greatest(F.lit(0.0), 1 - z)
+    return F.when(z < -1, -4 * y).otherwise(-2 * y * F.greatest(F.lit(0.0), 1 - z))
+
+
+def _optimal(spark, sf, s, loss, l2=None, on_bias=False, tol=1e-4):
+    """For each label of a fit whether the objective's slope vanishes, worked out in long form: one row per
+    record and term, coefficients joined to them, apart from the code that fits."""
     g = gold(spark, sf)
     model = models.train_final(g, s)
-    out = model.predict(g)
-    return out.select("org_id", join_codes(F.col("predicted_codes")).alias("codes"))
+    rows = models.featurise(model.text_of(g, "corpus"), "_text", s, model.features, ["org_id", "tags"])
+    rows = models.keep_for_fits(rows.select("org_id", "tags", vector_to_array("features").alias("x")))
+    n = rows.count()
+    l2 = l2 if l2 is not None else 1.0 / (s.model_c * n)
+    cells = rows.select("org_id", F.posexplode("x").alias("term", "value")).where("value <> 0")
+    coefs = spark.createDataFrame(
+        [(c, j, float(w)) for i, c in enumerate(model.labels) for j, w in enumerate(model.coef[i])], "label string, term int, coef double"
+    )
+    starts = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(float(b)).alias("b")) for c, b in zip(model.labels, model.intercept, strict=True)])
+    every = rows.select("org_id", "tags", F.explode(starts).alias("l")).select("org_id", "tags", "l.label", "l.b")
+    sums = cells.join(coefs, "term").groupBy("org_id", "label").agg(F.sum(F.col("value") * F.col("coef")).alias("m"))
+    y = F.when(F.array_contains(F.split("tags", ";"), F.col("label")), 1.0).otherwise(-1.0)
+    slopes = every.join(sums, ["org_id", "label"], "left").select("org_id", "label", "b", _derivative(loss, y, F.coalesce("m", F.lit(0.0)) + F.col("b")).alias("d"))
+    by_term = slopes.join(cells, "org_id").groupBy("label", "term").agg((F.sum(F.col("d") * F.col("value")) / n).alias("s"))
+    worst = coefs.join(by_term, ["label", "term"], "left").groupBy("label").agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) + l2 * F.col("coef"))).alias("w"))
+    bias = slopes.groupBy("label").agg(F.abs(F.sum("d") / n + (l2 * F.first("b") if on_bias else 0.0)).alias("z"))
+    return worst.join(bias, "label").select("label", (F.greatest("w", "z") <= 1.01 * tol).alias("optimal"))
+
+
+_OPTIMAL = "SELECT DISTINCT code AS label, true AS optimal FROM truth"
 
 
-@query("fit_ovr_logistic")
+@query("fit_ovr_logistic", _OPTIMAL, ("truth",))
 def fit_ovr_logistic(spark, sf):
-    return _predictions(spark, sf, LOGISTIC)
+    return _optimal(spark, sf, LOGISTIC, "logistic")
 
 
-@query("fit_ovr_svc")
+@query("fit_ovr_svc", _OPTIMAL, ("truth",))
 def fit_ovr_svc(spark, sf):
-    return _predictions(spark, sf, SVC)
+    return _optimal(spark, sf, SVC, "squared_hinge", on_bias=True)
 
 
-@query("fit_ovr_sgd")
+@query("fit_ovr_sgd", _OPTIMAL, ("truth",))
 def fit_ovr_sgd(spark, sf):
-    return _predictions(spark, sf, SGD)
+    return _optimal(spark, sf, SGD, "modified_huber", SGD.sgd_alpha, tol=1e-3)
 
 
-@query("fit_ovr_sgd_log_loss")
+@query("fit_ovr_sgd_log_loss", _OPTIMAL, ("truth",))
 def fit_ovr_sgd_log_loss(spark, sf):
-    return _predictions(spark, sf, LOG_SGD)
+    return _optimal(spark, sf, LOG_SGD, "logistic", LOG_SGD.sgd_alpha, tol=1e-3)
 
 
-@query("feature_union")
+@query("feature_union", """SELECT g.org_id, CASE WHEN w.org_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS words, 1.0::DOUBLE AS characters FROM gold g LEFT JOIN
+  (SELECT DISTINCT org_id FROM gt JOIN (SELECT term FROM gt GROUP BY term HAVING count(*) >= 2) USING (term)) w ON g.org_id = w.org_id""", ("gt", "gold"))
 def feature_union(spark, sf):
+    """Squared length of the word part and of the character part of each record's vector."""
     s = models.Settings(clean_text=False, char_ngram_max=4)
     tokens = models._tokenised(gold(spark, sf).withColumn("_text", F.col("corpus")), "_text", s)
-    from pyspark.ml.functions import vector_to_array
+    pipeline = models.feature_union(tokens, s)
+    n_words = len(pipeline.stages[0].vocabulary)
+    x = vector_to_array("features")
+    square = lambda part: F.round(F.aggregate(part, F.lit(0.0), lambda a, v: a + v * v), 6)
+    out = pipeline.transform(tokens).select("org_id", x.alias("x"))
+    return out.select("org_id", square(F.slice("x", 1, n_words)).alias("words"), square(F.slice("x", n_words + 1, F.size("x"))).alias("characters"))
 
-    out = models.feature_union(tokens, s).transform(tokens)
-    norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
-    return out.select("org_id", F.round(norm, 6).alias("squared_length"))
 
-
-@query("fit_class_lr")
+@query("fit_class_lr", "SELECT DISTINCT class_code, true AS optimal FROM gold", ("gold",))
 def fit_class_lr(spark, sf):
+    """For each class whether the slope of the multinomial objective vanishes, in long form."""
     g = gold(spark, sf)
     model = models.fit_class_lr(g)
-    return model.predict(g)
+    fitted = model.model.stages[0]
+    text = F.col("corpus") if not model.clean else models.clean_text(F.col("corpus"))
+    rows = models.featurise(g.withColumn("_text", text), "_text", models._CLASS_FEATURES, model.features, ["org_id", "class_code"])
+    scored = fitted.transform(rows).select("org_id", "class_code", vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    scored = models.keep_for_fits(scored)
+    n = scored.count()
+    names = F.array(*map(F.lit, model.classes))
+    own = F.col("class_code")
+    d = F.zip_with(names, "p", lambda c, p: F.struct(c.alias("c"), (p - F.when(c == own, 1.0).otherwise(0.0)).alias("d")))
+    cells = scored.select(F.posexplode("x").alias("term", "value"), d.alias("d")).where("value <> 0").select("term", "value", F.explode("d").alias("e")).select("term", "value", "e.*").toDF("term", "value", "class_code", "slope")
+    slope = cells.groupBy("term", "class_code").agg((F.sum(F.col("value") * F.col("slope")) / n).alias("s"))
+    matrix = fitted.coefficientMatrix.toArray()
+    coefs = spark.createDataFrame([(c, j, float(w)) for i, c in enumerate(model.classes) for j, w in enumerate(matrix[i])], "class_code string, term int, coef double")
+    l2 = 1.0 / (fixed.CLASS_C * n)
+    worst = coefs.join(slope, ["class_code", "term"], "left").groupBy("class_code").agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) + l2 * F.col("coef"))).alias("w"))
+    return worst.select("class_code", (F.col("w") <= 2e-3).alias("optimal"))
 
 
 @query("train_final")
@@ -73,18 +128,38 @@ def train_final(spark, sf):
     return model.scores(records_corpus(spark, sf))
 
 
+def fixed_model(spark, sf, s):
+    """The fixed coefficients as a stored model, over features fitted on all records: SQL can follow its scores."""
+    from checks.base import COEFS, INTERCEPTS
+
+    tokens = models._tokenised(records_corpus(spark, sf).withColumn("_text", F.col("corpus")), "_text", s)
+    pipeline = models.feature_union(tokens, s)
+    place = {t: i for i, t in enumerate(pipeline.stages[0].vocabulary)}
+    labels = sorted(INTERCEPTS)
+    coef = np.zeros((len(labels), len(place)))
+    for term, code, w in COEFS:
+        if term in place:
+            coef[labels.index(code), place[term]] = w
+    path = scratch(spark) + "/fixed"
+    models.OvrModel(s, pipeline, labels, coef, np.array([INTERCEPTS[c] for c in labels]), "sigmoid").save(spark, path)
+    return models.OvrModel.load(spark, path)
+
+
 def records_corpus(spark, sf):
     from checks.base import corpus
 
     return corpus(spark, sf)
 
 
-@query("model_io")
+@query("model_io", "SELECT g.org_id, t.code, true AS same FROM gold g CROSS JOIN (SELECT DISTINCT code FROM truth) t", ("gold", "truth"))
 def model_io(spark, sf):
+    """Scores of a fitted model before it was saved and after it was loaded."""
     g = gold(spark, sf)
     path = scratch(spark) + "/model"
-    models.train_final(g, LOGISTIC).save(spark, path)
-    return models.OvrModel.load(spark, path).scores(g)
+    model = models.train_final(g, LOGISTIC)
+    model.save(spark, path)
+    before, after = model.scores(g), models.OvrModel.load(spark, path).scores(g).withColumnRenamed("score", "again")
+    return before.join(after, ["org_id", "code"], "full").select("org_id", "code", F.coalesce(F.col("score") == F.col("again"), F.lit(False)).alias("same"))
 
 
 @query("model_compare")
@@ -133,18 +208,31 @@ def full_workflow(spark, sf):
     return table
 
 
-@query("job_tag_ovr")
+_FIXED = models.Settings(clean_text=False, min_df=3, threshold=0.2, fallback_mode="top_k", top_k_fallback=1)
+_NAMED = "SELECT w.org_id, w.code, r.name, x.tag AS code_name FROM {0} w LEFT JOIN records r ON w.org_id = r.org_id LEFT JOIN taxonomy x ON w.code = x.code"
+
+
+@query("job_tag_ovr", with_ctes("", ("ranks", "manual_long", "records", "taxonomy")).rstrip() + f""",
+picked AS (SELECT org_id, code FROM ranks WHERE score >= 0.2 OR (best < 0.2 AND rn <= 1)),
+chosen AS (SELECT org_id, code FROM picked WHERE org_id NOT IN (SELECT org_id FROM manual_long) UNION SELECT org_id, code FROM manual_long),
+wide AS ({GROUPED.format('chosen')})
+{_NAMED.format('wide')}""")
 def job_tag_ovr(spark, sf):
-    model = models.train_final(gold(spark, sf), LOGISTIC)
     manual = joins.first_label(stacked(spark, sf), "tags")
-    return jobs.job_tag_ovr(records(spark, sf), model, manual, include_groups=True, taxonomy=taxonomy(spark))
+    out = jobs.job_tag_ovr(records(spark, sf), fixed_model(spark, sf, _FIXED), manual, include_groups=True, taxonomy=taxonomy(spark))
+    return out.select("org_id", "code", "name", "code_name")
 
 
-@query("job_tag_hybrid")
+@query("job_tag_hybrid", with_ctes("", ("ranks", "tags", "manual_long", "records", "taxonomy")).rstrip() + f""",
+picked AS (SELECT org_id, code FROM ranks WHERE score >= 0.2 OR (best < 0.2 AND rn <= 1)
+  UNION SELECT t.org_id, t.code FROM tags t LEFT JOIN ranks s ON s.org_id = t.org_id AND s.code = t.code WHERE coalesce(s.score, 0) >= 0.12),
+chosen AS (SELECT org_id, code FROM picked WHERE org_id NOT IN (SELECT org_id FROM manual_long) UNION SELECT org_id, code FROM manual_long)
+{_NAMED.format('chosen')}""")
 def job_tag_hybrid(spark, sf):
-    model = models.train_final(gold(spark, sf), HYBRID)
+    s = replace(_FIXED, approach="hybrid_logistic", hybrid_rule="label_conf_gated_regex", hybrid_conf=0.12)
     manual = joins.first_label(stacked(spark, sf), "tags")
-    return jobs.job_tag_hybrid(records(spark, sf), RULES, model, manual, taxonomy(spark))
+    out = jobs.job_tag_hybrid(records(spark, sf), RULES, fixed_model(spark, sf, s), manual, taxonomy(spark))
+    return out.select("org_id", "code", "name", "code_name")
 
 
 @query("job_classify")

@@ -117,14 +117,14 @@ def test_tfidf_by_hand(spark):
     assert {r.term for r in features.term_counts(docs, "t", 2).collect()} == {"a"}
 
 
-def test_score_labels_salted_equals_broadcast(spark, monkeypatch):
+def test_score_labels_in_blocks(spark, monkeypatch):
     terms = spark.createDataFrame([("1", "a", 0.5), ("1", "b", 2.0), ("2", "zz", 1.0)], "org_id string, term string, weight double")
     coefs = spark.createDataFrame([("a", "X", 1.0), ("b", "X", 0.5), ("a", "Y", -1.0)], "term string, code string, coef double")
     def run():
         return {(r.org_id, r.code): round(r.score, 9) for r in features.score_labels(terms, coefs, {"X": 0.5, "Y": 0.0}, "margin").collect()}
     plain = run()
     assert plain == {("1", "X"): 2.0, ("1", "Y"): -0.5, ("2", "X"): 0.5, ("2", "Y"): 0.0}
-    monkeypatch.setattr(features, "BROADCAST_COEFS", 0)
+    monkeypatch.setattr(features, "BLOCK_COEFS", 1)
     assert run() == plain
 
 
@@ -248,3 +248,49 @@ def test_settings_are_checked():
                 {"fallback_mode": "x"}, {"model_family": "sgd"}, {"model_family": "x"}):
         with pytest.raises(ValueError):
             models.Settings(**bad)
+
+
+def test_scores_in_blocks_of_labels(spark, monkeypatch):
+    g = grid.with_corpus(gold(spark), LOGISTIC.fields)
+    m = models.train_final(g, LOGISTIC)
+    assert all(x["converged"] for x in m.info["steps"].values())
+    whole = sorted(map(str, m.ranked(g).collect()))
+    monkeypatch.setattr(models, "MAX_MATRIX_BYTES", 1)
+    assert sorted(map(str, m.ranked(g).collect())) == whole
+
+
+def test_a_fit_says_that_it_did_not_converge(spark):
+    g = grid.with_corpus(gold(spark), LOGISTIC.fields)
+    m = models.train_final(g, LOGISTIC)
+    rows = models.featurise(m.text_of(g, "corpus"), "_text", LOGISTIC, m.features, ["tags"]).select(F.split("tags", ";").alias("labels"), "features")
+    with pytest.warns(RuntimeWarning):
+        *_, report = linear.fit_linear(rows, "logistic", 1e-3, max_iter=2)
+    assert not any(x["converged"] for x in report.values())
+
+
+def test_models_keep_their_base_forms(spark, tmp_path):
+    g = grid.with_corpus(gold(spark), LOGISTIC.fields)
+    lexicon = spark.createDataFrame([("nurse", "doctor"), ("clinic", "doctor"), ("hospital", "doctor")], "surface string, lemma string")
+    m = models.train_final(g, LOGISTIC, lexicon=lexicon)
+    assert "nurse" not in m.features.stages[0].vocabulary and "doctor" in m.features.stages[0].vocabulary
+    m.save(spark, str(tmp_path / "lemmas"))
+    back = models.OvrModel.load(spark, str(tmp_path / "lemmas"))
+    assert back.lexicon.count() == 3
+    assert sorted(map(str, back.ranked(g).collect())) == sorted(map(str, m.ranked(g).collect()))
+
+
+def test_gold_texts_fill_from_objects(spark):
+    from pyspark.sql import types as T
+
+    from tagspark.plans import jobs
+
+    kinds = T.StructType([T.StructField(n, T.StringType()) for n in ("reg_number", "name", "activities", "objects", "tags", "class_code")])
+    raw = spark.createDataFrame([("r1", '{"reg_number": "1", "name": "x", "objects": "runs a hospital", "tags": ["A"]}')], "id string, fields string")
+    row = grid.with_corpus(jobs.job_gold_sample(raw, kinds), fixed.DEFAULT_FIELDS).first()
+    assert row.corpus == "x runs a hospital"
+
+
+def test_stored_settings_train(spark, tmp_path):
+    grid.save_best(spark, {"ovr_logistic": LOGISTIC}, str(tmp_path / "best"))
+    m = workflow.train_stored(gold(spark).drop("objects"), str(tmp_path / "best"), "ovr_logistic")
+    assert m.labels == ["A1", "B2", "C3", "D4"]
