@@ -6,6 +6,7 @@ every pattern is compiled once per task, and nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from tagspark.functions.codes import code_set, explode_rows, group_codes, split_
 
 # Case-insensitive, with Unicode letters, digits and word edges.
 FLAGS = "(?iU)"
+#: Rules of plain words from which on finding a text's words first is worth it.
+MANY_RULES = 20
 
 
 @dataclass(frozen=True)
@@ -39,13 +42,43 @@ def load_rules(table: DataFrame) -> list[Rule]:
     return [Rule(*row) for row in rows if _stated(row["include"])]
 
 
-def matched_codes(corpus: Column, rules: Iterable[Rule]) -> Column:
-    """Sorted codes of all rules that hold for the text."""
+#: What may stand around the alternatives of a rule of plain words.
+_EDGES = ((r"\b(", r")\b"), (r"(^|[^\p{L}\p{N}_])(", r")([^\p{L}\p{N}_]|$)"))
+
+
+def gate_words(pattern: str) -> list[str] | None:
+    """For a rule of plain words between word edges: the first word of each alternative, one of which its text
+    must hold. None for any other pattern."""
+    for left, right in _EDGES:
+        body = pattern[len(left) : len(pattern) - len(right)]
+        if pattern == left + body + right and body:
+            words = [x.split(" ")[0] for x in body.split("|")]
+            plain = all(re.fullmatch(r"[^\W\d_]+([ -][^\W\d_]+)*", x) for x in body.split("|"))
+            return sorted({w.split("-")[0].upper().replace("İ", "I").lower() for w in words}) if plain else None
+    return None
+
+
+def letter_words(corpus: Column) -> Column:
+    """The runs of letters of a text, each once, folded at least as far as a pattern ignores case."""
+    runs = F.regexp_extract_all(corpus, F.lit(r"(\p{L}+)"), F.lit(1))
+    # the dotted I folds to i; that also keeps the two case changes from being taken for one
+    return F.array_distinct(F.transform(runs, lambda w: F.lower(F.translate(F.upper(w), "İ", "I"))))
+
+
+def matched_codes(corpus: Column, rules: Iterable[Rule], letters: Column | None = None) -> Column:
+    """Sorted codes of all rules that hold for the text.
+
+    With ``letters`` (see :func:`letter_words`, as a column of its own), the pattern of a rule of plain words
+    is only tried where one of them stands; that changes no result.
+    """
     hits = []
     for rule in rules:
         if not _stated(rule.include):
             continue
         hit = corpus.rlike(FLAGS + rule.include)
+        gate = gate_words(rule.include) if letters is not None else None
+        if gate is not None:
+            hit = F.arrays_overlap(letters, F.array(*map(F.lit, gate))) & hit
         if _stated(rule.exclude):
             hit = hit & ~corpus.rlike(FLAGS + rule.exclude)
         hits.append(F.when(hit, F.lit(rule.code)))
@@ -60,8 +93,10 @@ def tag_sets(
     out: str = "codes",
 ) -> DataFrame:
     """Every record with its set of codes, empty when no rule holds."""
-    codes = matched_codes(F.col(corpus), rules)
-    return df.withColumn(out, with_groups(codes) if include_groups else codes)
+    gated = sum(gate_words(r.include) is not None for r in rules if _stated(r.include)) >= MANY_RULES
+    rows = df.withColumn("_letters", letter_words(F.col(corpus))) if gated else df
+    codes = matched_codes(F.col(corpus), rules, F.col("_letters") if gated else None)
+    return rows.withColumn(out, with_groups(codes) if include_groups else codes).drop("_letters")
 
 
 def tag_by_rules(

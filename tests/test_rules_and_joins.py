@@ -173,3 +173,20 @@ def test_distribution_and_report_have_zero_rows(spark):
     tax = spark.createDataFrame([("HE",), ("AB101",), ("ZZ",)], "code string")
     rep = {(r.code, r.value): (r.all_n, r.category_n) for r in aggregates.category_report(recs, tags, tax, ["source"]).collect()}
     assert rep[("HE", "x")] == (2, 1) and rep[("AB101", "x")] == (2, 0) and rep[("ZZ", "Total")] == (3, 0)
+
+
+def test_gated_rules_equal_plain_ones(spark, monkeypatch):
+    from tagspark.operators import rules as r
+
+    words = ["nurse", "straße", "food bank", "self-help", "kelvin", "café", "s", "mass"]
+    edges = r._EDGES
+    made = [r.Rule(f"A{i}{j}", f"{left}{w}|zebra{right}") for i, w in enumerate(words) for j, (left, right) in enumerate(edges)]
+    made += [r.Rule("B1", r"\\blicen[cs]e\\b"), r.Rule("B2", r"\\b(nurse)s?\\b"), r.Rule("B3", r"\\b(nurse|do\\w+)\\b", "kelvin")]
+    assert r.gate_words(made[0].include) == ["nurse", "zebra"] and all(r.gate_words(x.include) is None for x in made[-3:])
+    texts = [None, "", "NURSES", "a Nurse.", "STRASSE", "straße", "Food bank", "food  bank", "self-help", "selfhelp", "\u212aelvin", "½nurse", "nurse\u0301", "maſs", "CAFÉ", "cafe\u0301", "nurse_1", "doctor licence"]
+    df = spark.createDataFrame(list(enumerate(texts)), "org_id int, corpus string")
+    both = []
+    for many in (10**6, 1):
+        monkeypatch.setattr(r, "MANY_RULES", many)
+        both.append({x.org_id: x.codes for x in r.tag_sets(df, made).collect()})
+    assert both[0] == both[1] and any(both[0].values())
