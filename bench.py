@@ -31,6 +31,9 @@ HEADLINE = [
     "naive_bayes_sql",
     "crosstab_share",
     "income_band",
+    "tag_many_rules",
+    "fit_ovr_logistic",
+    "job_tag_ovr",
 ]
 
 

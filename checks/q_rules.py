@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import RULES, eval_rows, gold, query, tags, taxonomy
+from checks.base import RULES, corpus, eval_rows, gold, query, tags, taxonomy, term_table, words
 from tagspark.functions.codes import join_codes
 from tagspark.operators import rules
 from tagspark.sources.sinks import prediction_rows
@@ -37,3 +37,16 @@ def related_codes(spark, sf):
     out = rules.related_codes(tags(spark, sf), taxonomy(spark))
     return out.select("org_id", join_codes(F.col("candidates")).alias("candidates"))
 
+
+
+_FREQUENT = "SELECT term FROM dfs WHERE regexp_matches(term, '^[a-z]+$') ORDER BY df DESC, term LIMIT 250"
+
+
+@query("tag_many_rules", f"""SELECT DISTINCT t.org_id, 'T-' || t.term AS code FROM
+  (SELECT org_id, unnest(regexp_extract_all(lower(corpus), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM corpus) t JOIN ({_FREQUENT}) f ON f.term = t.term""", ("corpus", "dfs"))
+def tag_many_rules(spark, sf):
+    """As many rules as a real list has, one for each of the most frequent words."""
+    known = term_table(spark, sf).select("term", "df").distinct().where(F.col("term").rlike("^[a-z]+$"))
+    listed = known.orderBy(F.desc("df"), "term").limit(250)
+    made = rules.load_rules(listed.select(F.concat(F.lit("T-"), "term").alias("code"), F.format_string(words("%s"), "term").alias("include"), F.lit(None).cast("string").alias("exclude")))
+    return rules.tag_by_rules(corpus(spark, sf), made)

@@ -152,6 +152,35 @@ def naive_bayes_sql(spark, sf):
     return out.withColumn("score", F.round("score", 4))
 
 
+_TWO_STEP = """,
+train AS (SELECT t.org_id, t.term, t.tf, g.class_code, substr(g.class_code, 1, 1) AS section FROM term_table t JOIN gold g ON t.org_id = g.org_id),
+s_seen AS (SELECT section, term, sum(tf) AS c FROM train GROUP BY ALL),
+s_vocab AS (SELECT DISTINCT term FROM s_seen),
+s_cls AS (SELECT d.section, ln(d.n * 1.0 / sum(d.n) OVER ()) AS prior, ln(t.total + (SELECT count(*) FROM s_vocab)) AS floor FROM
+  (SELECT substr(class_code, 1, 1) AS section, count(*) AS n FROM gold GROUP BY 1) d JOIN (SELECT section, sum(c) AS total FROM s_seen GROUP BY 1) t USING (section)),
+s_score AS (SELECT x.org_id, k.section, any_value(k.prior) + sum(x.tf * (ln(coalesce(s.c, 0) + 1) - k.floor)) AS score
+  FROM term_table x JOIN s_vocab v ON x.term = v.term CROSS JOIN s_cls k LEFT JOIN s_seen s ON s.term = x.term AND s.section = k.section GROUP BY ALL),
+picked AS (SELECT org_id, section FROM s_score QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY score DESC, section) = 1),
+c_seen AS (SELECT section, class_code, term, sum(tf) AS c FROM train GROUP BY ALL),
+c_vocab AS (SELECT DISTINCT section, term FROM c_seen),
+c_cls AS (SELECT d.section, d.class_code, ln(d.n * 1.0 / sum(d.n) OVER (PARTITION BY d.section)) AS prior, ln(t.total + v.size) AS floor FROM
+  (SELECT substr(class_code, 1, 1) AS section, class_code, count(*) AS n FROM gold GROUP BY ALL) d
+  JOIN (SELECT section, class_code, sum(c) AS total FROM c_seen GROUP BY ALL) t USING (section, class_code)
+  JOIN (SELECT section, count(*) AS size FROM c_vocab GROUP BY 1) v USING (section)),
+c_score AS (SELECT x.org_id, p.section, k.class_code, any_value(k.prior) + sum(x.tf * (ln(coalesce(s.c, 0) + 1) - k.floor)) AS score
+  FROM term_table x JOIN picked p USING (org_id) JOIN c_vocab v ON v.section = p.section AND v.term = x.term JOIN c_cls k ON k.section = p.section
+  LEFT JOIN c_seen s ON s.term = x.term AND s.section = p.section AND s.class_code = k.class_code GROUP BY ALL)
+SELECT org_id, section, class_code FROM c_score QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY score DESC, class_code) = 1"""
+
+
+@query("two_step_counting", with_ctes("", ("term_table", "gold")).rstrip() + _TWO_STEP)
+def two_step_counting(spark, sf):
+    from tagspark.operators import models
+
+    terms = term_table(spark, sf).select("org_id", "term", "tf")
+    return models.two_step_counting(terms, gold(spark, sf).select("org_id", "class_code"), terms)
+
+
 # --- settings search ---------------------------------------------------------------
 THRESHOLDS, KS, MINS, GATES = [0.13, 0.2, 0.35], [0, 1], [0.125, 0.15], [0.12, 0.2]
 _GRID_VALUES = {

@@ -41,8 +41,10 @@ from pyspark.sql import types as T
 from tagspark import fixed
 from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, word_tokens
+from tagspark.operators import features
 from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
+from tagspark.operators.ranking import argmax_class
 from tagspark.operators.text_ops import cleaned
 from tagspark.session import shared_folder
 
@@ -494,3 +496,18 @@ def two_step_classify(
             )
         out = done if out is None else out.unionByName(done)
     return out
+
+
+def two_step_counting(
+    train_terms: DataFrame, train_labels: DataFrame, test_terms: DataFrame, label: str = "class_code", id: str = "org_id"
+) -> DataFrame:
+    """The two steps by counting: naive Bayes picks the section, then the code among those of that section.
+
+    Term tables are ``(id, term, tf)``. All sections are counted and scored in one pass, whatever their
+    number; records without a known term of their section are left out, as they are by one step.
+    """
+    sections = train_labels.select(id, F.col(label).alias("label"), F.substring(label, 1, 1).alias("section"))
+    first = features.naive_bayes_sql(train_terms, sections.select(id, F.col("section").alias("label")), test_terms, id=id)
+    guess = argmax_class(first, id, out="section").select(id, "section")
+    scores = features.naive_bayes_sql(train_terms, sections, test_terms.join(guess, id), by=("section",), id=id)
+    return argmax_class(scores, id, out=label, by=("section",)).select(id, "section", label)
