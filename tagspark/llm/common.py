@@ -62,6 +62,22 @@ def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of a batch that goes to a worker.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, so that long texts swell neither workers nor executors.
+
+    The session's own limit stays if it is lower.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def settle() -> None:
     """Give memory that a batch has used back to the system; workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()

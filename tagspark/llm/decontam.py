@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import aside, byte_list, slices, table
+from tagspark.llm.common import aside, byte_list, in_batches, slices, table
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame, vocabulary) -> dict[bytes, int]:
                     total.update(filter(known.__contains__, words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
 
-    met = docs.select("text").mapInArrow(count, "w binary, n long")
+    met = in_batches(docs.select("text"), count, "w binary, n long")
     return {bytes(r[0]): r[1] for r in met.groupBy("w").agg(F.sum("n")).collect()}
 
 
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
                     arrays = {name: part.column(name) for name in kept} | {"n_words": pa.array(n, pa.int64()), "runs": pa.array(runs, part.schema.field("runs").type), "items": pa.array(items, part.schema.field("items").type)}
                     yield pa.RecordBatch.from_arrays([arrays[name] for name in part.schema.names], part.schema.names)
 
-        out = out.mapInArrow(mark, schema)
+        out = in_batches(out, mark, schema)
         block = next(blocks, None)
     return out
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import aside, bounded_sample, crc_bucket, slices, table, text_list
+from tagspark.llm.common import aside, bounded_sample, crc_bucket, in_batches, slices, table, text_list
 
 #: Bound of the labelled rows that a model is fitted on, for each language.
 PER_LANGUAGE = 1000
@@ -62,7 +62,7 @@ def fit(labelled: DataFrame) -> dict:
         out = [(lang, g, n) for lang, c in seen.items() for g, n in c.items()]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in out], pa.string()), "g": pa.array([x[1] for x in out], pa.string()), "n": pa.array([x[2] for x in out], pa.int64())})
 
-    counted = sample.mapInArrow(count, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counted = in_batches(sample, count, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     got = counted.orderBy(F.desc("n"), "lang", "g").limit(GRAMS).collect()
     langs = sorted({r.lang for r in got})
     at = {lang: i for i, lang in enumerate(langs)}
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame
                 arrays = [part.column(c) for c in kept] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return src.mapInArrow(label, schema)
+    return in_batches(src, label, schema)
 
 
 def op10_language_id(spark, sf: str) -> DataFrame:

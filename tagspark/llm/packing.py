@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import keep, slices, table, text_list
+from tagspark.llm.common import in_batches, keep, slices, table, text_list
 from tagspark.llm.pretok import encoder
 
 CAPACITY, END = 2048, 0
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) ->
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return in_batches(docs.select("doc_id", "text"), pieces, PIECES)
 
 
 def fullest(left: dict[int, int], room: int) -> Counter:
@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 seen[n] += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(ranks), pa.int32()), pa.array(ranks, pa.int64())], schema.names)
 
-    rows = keep(src.mapInArrow(ranked, schema), "pieces")
+    rows = keep(in_batches(src, ranked, schema), "pieces")
     counted = rows.groupBy("task", "length").count()
     w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("task", "length", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("earlier"))
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, slot = p["first"][at] + beyond // p["each"][at], beyond % p["each"][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(p["offset"][at] + slot * length)], result.names)
 
-    return placed.mapInArrow(place, result)
+    return in_batches(placed, place, result)
 
 
 def packed(docs: DataFrame) -> DataFrame:

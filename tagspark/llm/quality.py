@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import bounded_sample, byte_list, crc_bucket, logistic, probability, slices, table
+from tagspark.llm.common import bounded_sample, byte_list, crc_bucket, in_batches, logistic, probability, slices, table
 
 #: Bound of the labelled rows used, for each label; half build the dictionaries, half fit the curve.
 PER_LABEL = 2400
@@ -90,7 +90,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 z = (sizes.features(byte_list(part.column("text"))) - m["mean"]) / m["spread"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(probability(np.c_[z, z[:, :5] ** 2], m["w"]))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return in_batches(src, run, schema)
 
 
 def op6_quality(spark, sf: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import aside, byte_list, keep, slices, table
+from tagspark.llm.common import aside, byte_list, in_batches, keep, slices, table
 from tagspark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -59,7 +59,7 @@ def with_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(fps), pa.array(np.arange(at, at + len(fps)))], schema.names)
                 at += len(fps)
 
-    return src.mapInArrow(run, schema)
+    return in_batches(src, run, schema)
 
 
 def keys(fp: Column, radius: int, groups: int = GROUPS) -> Column:
@@ -217,7 +217,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(parts, "unit").sortWithinPartitions("unit", "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_batches(dealt, run, "a long, b long")
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import aside, keep, settle, slices, table
+from tagspark.llm.common import aside, in_batches, keep, settle, slices, table
 from tagspark.llm.sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 48
@@ -145,7 +145,7 @@ def _sorted_shards(segs: DataFrame, length: int) -> DataFrame:
             yield out(held)
 
     parts = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segs.select("h", "seg", "times", "text").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, FOUND)
+    return in_batches(segs.select("h", "seg", "times", "text").repartition(parts, "h").sortWithinPartitions("h"), run, FOUND)
 
 
 def _finer(segs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _finer(segs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
             yield table_of(out)
             settle()
 
-    return segs.select("h", "seg", "times", "text").mapInArrow(run, "h long, seg long, times long, shift int, h2 long, seg2 long, text binary")
+    return in_batches(segs.select("h", "seg", "times", "text"), run, "h long, seg long, times long, shift int, h2 long, seg2 long, text binary")
 
 
 def _found(segs: DataFrame, length: int, gram: int, steps: list[int]) -> DataFrame:
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(range(at, at + len(z)), pa.int64()), pa.array(z, pa.binary())], schema.names)
                 at += len(z)
 
-    wide = keep(docs.select(*kept, "text").mapInArrow(number, schema), "numbered")
+    wide = keep(in_batches(docs.select(*kept, "text"), number, schema), "numbered")
 
     def place(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             yield _places(out)
             settle()
 
-    places = keep(wide.select("row", "z").mapInArrow(place, PLACES), "places")
+    places = keep(in_batches(wide.select("row", "z"), place, PLACES), "places")
     # written, so that a frequent hash meets it in a plain join, which adaptive execution splits
     again = keep(places.groupBy("h").agg(F.sum("stands").alias("n")).where("n > 1").select("h"), "again")
     places = keep(places.join(again, "h"), "places-again")
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
                 rows = [(c["h"], c["seg"], c["times"], text[c["start"] : c["start"] + c["size"]]) for c in cuts.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["h", "seg", "times", "text"])
 
-    segs = keep(wide.select("row", "z").join(wanted, "row").select("z", "cuts").mapInArrow(cut, SEGMENTS), "segments")
+    segs = keep(in_batches(wide.select("row", "z").join(wanted, "row").select("z", "cuts"), cut, SEGMENTS), "segments")
     found = keep(_found(segs, length, gram, [STEP, 1]), "found")
     spans = places.join(found, ["h", "seg"]).select("row", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"] + (length - 1)).alias("last"))).alias("s"))
     return wide, spans.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("spans"))
@@ -297,7 +297,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), whole, pa.array(sizes, pa.int64()), pa.array(gone, batch.schema.field("spans").type)], result.names)
             settle()
 
-    return src.mapInArrow(remove, result)
+    return in_batches(src, remove, result)
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

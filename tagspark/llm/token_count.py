@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import slices, table, text_list
+from tagspark.llm.common import in_batches, slices, table, text_list
 from tagspark.llm.pretok import Encoder, whole_tokens
 
 LIMIT = 2048
@@ -34,7 +34,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 arrays = [part.column(c) for c in kept] + [sizes, pa.array(enc.counts(text_list(part.column("text"))), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return src.mapInArrow(count, schema)
+    return in_batches(src, count, schema)
 
 
 class Shortcut(Encoder):

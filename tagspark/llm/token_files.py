@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import shared_dir, slices, table, text_list
+from tagspark.llm.common import in_batches, shared_dir, slices, table, text_list
 from tagspark.llm.pretok import encoder
 
 END = 2
@@ -99,7 +99,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end: int = END, block: in
             yield out()
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    in_batches(ordered, pack, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def _starts(blocks: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     ids = [np.frombuffer(zip_.decompress(blob[offsets[i] : offsets[i + 1]]), f"<u{b['width']}").astype("<u4").tobytes() for i in range(lo, hi)]
                     yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"][lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()), pa.array(counts[lo:hi], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return in_batches(placed, unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def one_document(spark: SparkSession, folder: str, doc_id: int) -> list[int] | None:

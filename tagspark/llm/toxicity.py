@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import bounded_sample, crc_bucket, keep, logistic, probability, slices, table, text_list
+from tagspark.llm.common import bounded_sample, crc_bucket, in_batches, keep, logistic, probability, slices, table, text_list
 
 #: Bounds of the labelled rows used (each label), of the lexicon and of the exceptions.
 PER_LABEL, TERMS, EXCEPTIONS = 3000, 2000, 2000
@@ -73,7 +73,7 @@ def _counted(sample: DataFrame, terms) -> DataFrame:
         rows = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["t", "label", "n"])
 
-    got = sample.mapInArrow(count, "t string, label int, n long").groupBy("t").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
+    got = in_batches(sample, count, "t string, label int, n long").groupBy("t").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
     return got
 
 
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             x = m.features(text_list(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("label").cast(pa.float64())], ["a", "b", "c", "y"])
 
-    got = np.array(sample.mapInArrow(features, "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
+    got = np.array(in_batches(sample, features, "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
     w = logistic(got[:, :3], got[:, 3])
     w[-1] += np.log(counts[1] / counts[0]) - np.log(max(bad, 1) / max(good, 1))
     return {"lexicon": lexicon, "exceptions": exceptions, "w": w}
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 n = [len(matcher.hits(fold(t))) if any_ else 0 for t, any_ in zip(texts, x[:, 0].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(probability(x, m["w"])), pa.array(n, pa.int64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return in_batches(src, run, schema)
 
 
 def op7_toxicity(spark, sf: str) -> DataFrame:
