@@ -36,7 +36,6 @@ MISSING_TEXTS = [
 
 # --- fixed values: rules and code shapes ------------------------------------
 EMPTY_RULE = r"\b()\b"
-ORG_ID_PREFIX = {"ccew": "GB-CHC-", "oscr": "GB-SC-", "ccni": "GB-NIC-"}
 
 # --- fixed values: bands (right-closed, a value at or below the first edge is null)
 INF = float("inf")
@@ -71,7 +70,6 @@ HYBRID_MAX_LABELS = 1
 HYBRID_ROW_CONFIDENCE = 0.25
 HYBRID_LABEL_CONFIDENCE = 0.03
 LARGEST_RECORDS = 2000
-LARGE_INCOME = 100_000
 
 # --- fixed values: objective, guardrails, grid ------------------------------
 OBJECTIVE_WEIGHTS = {
