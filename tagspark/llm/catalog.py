@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tagspark.llm import decontam, langid, order_minhash, packing, quality, simhash, suffix_dedup, token_count, token_files, toxicity
+from tagspark.llm import (
+    decontam, html_text, langid, order_minhash, packing, prefix_trie, quality, simhash, suffix_dedup, token_count, token_files, toxicity, whitening,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_language_id": langid.op10_language_id,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_html_extraction": html_text.op12_html_extraction,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE = {"op9_benchmark_decontamination": decontam.ORACLE}

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import io
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +70,28 @@ def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tagspark_shipped", False):
+        return
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    # Spark copies the file when it is added
+    place = Path(tempfile.mkdtemp(prefix="tagspark-")) / f"{package.name}.zip"
+    place.write_bytes(packed.getvalue())
+    sc.addPyFile(str(place))
+    sc._tagspark_shipped = True
+
+
 def in_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with batches of bounded bytes, so that long texts swell neither workers nor executors.
 
     The session's own limit stays if it is lower.
     """
+    ship(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name)
     if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
