@@ -13,14 +13,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagspark.llm.common import aside, bounded_sample, crc_bucket, in_batches, slices, table, text_list
 
 #: Bound of the labelled rows that a model is fitted on, for each language.
 PER_LANGUAGE = 1000
-GRAMS = 200_000
+#: Most frequent n-grams kept for each language; the others count as not seen.
+GRAMS = 100_000
 PENALTY = 6.0
 CACHE = 300_000
 #: Tokens scored together, and characters labelled together; they bound what a worker holds.
@@ -45,7 +46,7 @@ def fit(labelled: DataFrame) -> dict:
     """A model from rows (doc_id, text, lang): languages, their scripts, n-gram log-likelihoods.
 
     At most about ``PER_LANGUAGE`` rows of each language are used (documented bound); their counts are
-    summed in Spark and the ``GRAMS`` most frequent (language, n-gram) pairs reach the driver.
+    summed in Spark and the ``GRAMS`` most frequent n-grams of each language reach the driver, with all scripts.
     Without labelled rows the model has no language, and all texts are ``und``.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -63,7 +64,8 @@ def fit(labelled: DataFrame) -> dict:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in out], pa.string()), "g": pa.array([x[1] for x in out], pa.string()), "n": pa.array([x[2] for x in out], pa.int64())})
 
     counted = in_batches(sample, count, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "lang", "g").limit(GRAMS).collect()
+    place = F.row_number().over(Window.partitionBy("lang", F.col("g").startswith("\0")).orderBy(F.desc("n"), "g"))
+    got = counted.withColumn("place", place).where(F.col("place") <= GRAMS).orderBy("lang", "g").collect()
     langs = sorted({r.lang for r in got})
     at = {lang: i for i, lang in enumerate(langs)}
     table_, scripts, total = {}, defaultdict(lambda: np.zeros(len(langs))), np.zeros((4, len(langs)))
@@ -142,14 +144,14 @@ class Scores:
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; documents are walked in step, longest first."""
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-lens, kind="stable")
     starts, lens = starts[order], lens[order]
     if not len(lens) or lens[0] == 0:
         return labels
     active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")  # documents longer than t
     stay = np.ones(scores.shape, bool)
-    best = np.zeros(len(scores), np.int8)  # best label of the word before
+    best = np.zeros(len(scores), np.int32)  # best label of the word before
     state = scores[starts[: active[0]]].astype(np.float64)
     for t in range(1, lens[0]):
         a = active[t]

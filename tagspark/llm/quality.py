@@ -12,13 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagspark.llm.common import bounded_sample, byte_list, crc_bucket, in_batches, logistic, probability, slices, table
+from tagspark.llm.common import bounded_sample, byte_list, crc_bucket, in_batches, keep, logistic, probability, slices, table
 
 #: Bound of the labelled rows used, for each label; half build the dictionaries, half fit the curve.
 PER_LABEL = 2400
 DICTIONARY = 112 << 10
-#: Longer training texts are left to the other samples of their label.
-TRAIN_BYTES = 64 << 10
+#: Bytes of a piece that a dictionary learns from; texts are cut into such pieces.
+PIECE = 64 << 10
 THRESHOLD = 0.3
 
 
@@ -44,23 +44,47 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[:DICTIONARY]
 
 
+def _pieces(sample: DataFrame) -> list[tuple[int, bytes]]:
+    """(label, bytes) of the whole sampled texts in pieces of ``PIECE`` bytes; of more than ``PER_LABEL`` pieces a label, about as many
+    by a hash of text and place."""
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                out = [(y, t[i : i + PIECE], i) for t, y in zip(byte_list(part.column("text")), part.column("label").to_pylist(), strict=True) for i in range(0, len(t), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], ["label", "piece", "at"])
+
+    pieces = in_batches(sample.select("text", "label"), cut, "label int, piece binary, at long").withColumn("doc_id", F.xxhash64("piece", "at"))
+    return sorted((r.label, bytes(r.piece)) for r in bounded_sample(pieces, "label", PER_LABEL, "piece").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Both dictionaries and the curve from ``docs`` (doc_id, text) and ``labels`` (doc_id, label); None without two labels.
 
     At most about ``PER_LABEL`` rows a label are used, chosen by a hash of the id before any text is read;
-    only these few ids are sent to the scan of the texts.
+    only these few ids are sent to the scan of the texts. Half of them build the dictionaries, half, whole, fit the curve.
     """
     labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     chosen = F.broadcast(bounded_sample(labels, "label", PER_LABEL, "quality"))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.octet_length("text") <= TRAIN_BYTES)
-    got = sorted((hash_, t.encode(), y) for hash_, t, y in sample.select(F.xxhash64("doc_id", F.lit(1)), "text", "label").collect())
-    half = {y: [t for _, t, label in got if label == y][::2] for y in (0, 1)}
-    rest = [(t, label) for y in (0, 1) for t, label in [(t, label) for _, t, label in got if label == y][1::2]]
-    if not half[0] or not half[1] or len({y for _, y in rest}) < 2:
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
+    sample = keep(sample.withColumn("learns", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0), "quality-sample")
+    learnt = _pieces(sample.where("learns"))
+    good, bad = (dictionary([p for label, p in learnt if label == y]) if any(label == y for label, _ in learnt) else None for y in (1, 0))
+    if good is None or bad is None:
+        return None
+    sent = sample.sparkSession.sparkContext.broadcast((good, bad))
+
+    def features(batches):
+        sizes = Sizes(*sent.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = sizes.features(byte_list(part.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("label").cast(pa.float64())], ["x", "y"])
+
+    got = in_batches(sample.where("not learns"), features, "x array<double>, y double").collect()
+    if len({r.y for r in got}) < 2:
         return None
-    good, bad = dictionary(half[1]), dictionary(half[0])
-    x = Sizes(good, bad).features([t for t, _ in rest])
-    y = np.array([label for _, label in rest], float)
+    x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / spread
     # the sample holds the labels in equal parts; the intercept is moved back to their true odds

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tagspark.llm.common import bounded_sample, crc_bucket, in_batches, keep, logistic, probability, slices, table, text_list
 
-#: Bounds of the labelled rows used (each label), of the lexicon and of the exceptions.
-PER_LABEL, TERMS, EXCEPTIONS = 3000, 2000, 2000
+#: Bound of the labelled rows used, for each label. The lexicon and the exceptions have none but what these rows hold.
+PER_LABEL = 3000
 SHORTEST, LONGEST = 4, 8
 #: Logarithm of how much likelier a term must be in toxic texts before phrases excuse it.
 LEANS = 0.2
@@ -96,32 +98,39 @@ class Matcher:
             for end, (n, weight) in self.auto.iter(folded):
                 (shields if weight is None else found).append((end - n + 1, end + 1, weight))
         if shields:
-            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in shields)]
+            # a match is covered if a phrase that begins no later ends no earlier
+            shields.sort()
+            starts, reach = [a for a, *_ in shields], list(accumulate((b for _, b, _ in shields), max))
+            found = [h for h in found if not ((k := bisect_right(starts, h[0])) and reach[k - 1] >= h[1])]
         return found
 
     def terms(self, folded: str) -> set[str]:
         return {folded[a:b] for a, b, _ in self.hits(folded)}
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 3))
+    def features(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Features of each text, and its number of matches."""
+        out, counts = np.zeros((len(texts), 3)), []
         for i, text in enumerate(texts):
             hits = self.hits(fold(text))
+            counts.append(len(hits))
             if hits:
                 total = sum(w for *_, w in hits)
                 out[i] = 1.0, np.log1p(total), np.log1p(100 * total / (len(text) / 6 + 10))
-        return out
+        return out, counts
 
 
 def phrases(matcher: Matcher, text: str) -> set[str]:
     """The phrases of two words around each match."""
-    out, folded = set(), fold(text)
+    folded = fold(text)
+    words = [(m.start(), m.group()) for m in re.finditer(r"[^ ]+", folded)]
+    starts, out = [at for at, _ in words], set()
     for start, *_ in matcher.hits(folded):
-        word = folded[start:].split(" ", 2)[1]
-        before, after = folded[max(0, start - 60) : start].split(), folded[start + 1 + len(word) : start + 80 + len(word)].split()
-        if before:
-            out.add(f" {before[-1]} {word} ")
-        if after:
-            out.add(f" {word} {after[0]} ")
+        k = bisect_right(starts, start + 1) - 1  # a match begins at the space before its word
+        word = words[k][1]
+        if k:
+            out.add(f" {words[k - 1][1]} {word} ")
+        if k + 1 < len(words):
+            out.add(f" {word} {words[k + 1][1]} ")
     return out
 
 
@@ -144,10 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     often = F.col("bad") >= max(4, 0.01 * bad)
     terms = _counted(sample, lambda text: {t for w in set(fold(text).split()) for t in beginnings(w)})
     # first every term that leans to toxic texts, then the phrases that excuse it, then what is left of the term
-    loose = {r.t: 1.0 for r in terms.where(often & (odds >= LEANS)).orderBy((odds < 2.5), F.desc("bad"), F.length("t"), "t").limit(TERMS).collect()}
+    loose = {r.t: 1.0 for r in terms.where(often & (odds >= LEANS)).collect()}
     plain = Matcher(loose, [])
-    spared = _counted(sample, lambda text: phrases(plain, text)).where("good >= 3 and bad = 0").orderBy(F.desc("good"), "t").limit(EXCEPTIONS).collect()
-    exceptions = [r.t for r in spared]
+    spared = _counted(sample, lambda text: phrases(plain, text)).where("good >= 3 and bad = 0").collect()
+    exceptions = sorted(r.t for r in spared)
     excused = Matcher(loose, exceptions)
     chosen = _counted(sample, lambda text: excused.terms(fold(text))).where(often & (odds >= 2.5)).withColumn("w", odds).collect()
     lexicon: dict[str, float] = {}
@@ -163,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     def features(batches):
         m = Matcher(*sent.value)
         for batch in batches:
-            x = m.features(text_list(batch.column("text")))
+            x, _ = m.features(text_list(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("label").cast(pa.float64())], ["a", "b", "c", "y"])
 
     got = np.array(in_batches(sample, features, "a double, b double, c double, y double").collect(), float).reshape(-1, 4)
@@ -189,9 +198,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         matcher = Matcher(m["lexicon"], m["exceptions"])
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = text_list(part.column("text"))
-                x = matcher.features(texts)
-                n = [len(matcher.hits(fold(t))) if any_ else 0 for t, any_ in zip(texts, x[:, 0].tolist(), strict=True)]
+                x, n = matcher.features(text_list(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(probability(x, m["w"])), pa.array(n, pa.int64())], schema.names)
 
     return in_batches(src, run, schema)
