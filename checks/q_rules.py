@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.base import RULES, corpus, eval_rows, gold, query, tags, taxonomy, term_table, words
+from checks.base import EDGE_L, EDGE_R, RULES, corpus, eval_rows, gold, query, tags, taxonomy, term_table, with_ctes, words
 from tagspark.functions.codes import join_codes
 from tagspark.operators import rules
 from tagspark.sources.sinks import prediction_rows
@@ -50,3 +51,31 @@ def tag_many_rules(spark, sf):
     listed = known.orderBy(F.desc("df"), "term").limit(250)
     made = rules.load_rules(listed.select(F.concat(F.lit("T-"), "term").alias("code"), F.format_string(words("%s"), "term").alias("include"), F.lit(None).cast("string").alias("exclude")))
     return rules.tag_by_rules(corpus(spark, sf), made)
+
+
+_MANY = """SELECT term, row_number() OVER (ORDER BY df DESC, term) AS r FROM dfs WHERE regexp_matches(term, '^[a-z]{3,}$')
+  QUALIFY r <= 5000"""
+
+
+@query("tag_indexed_rules", with_ctes("", ("corpus", "dfs")).rstrip() + f""",
+many AS ({_MANY}),
+toks AS (SELECT DISTINCT org_id, unnest(regexp_extract_all(lower(corpus), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM corpus),
+vocab AS (SELECT DISTINCT w FROM toks),
+plain AS (SELECT term, 'W-' || term AS code FROM many WHERE r % 3 = 0),
+calls AS (SELECT term AS w, code FROM plain
+  UNION ALL SELECT v.w, 'B-' || m.term FROM many m JOIN vocab v ON starts_with(v.w, m.term) WHERE m.r % 3 = 1
+  UNION ALL SELECT v.w, 'I-' || m.term FROM many m JOIN vocab v ON contains(v.w, m.term) WHERE m.r % 3 = 2),
+hit AS (SELECT DISTINCT t.org_id, c.code FROM toks t JOIN calls c ON c.w = t.w)
+SELECT org_id, code FROM hit WHERE NOT (code LIKE 'I-%' AND org_id IN (SELECT org_id FROM toks WHERE w = 'the'))
+UNION ALL SELECT org_id, 'MAIL' AS code FROM corpus WHERE regexp_matches(corpus, '[0-9]+@|@[0-9]')""")
+def tag_indexed_rules(spark, sf):
+    """Five thousand rules as a table: whole words, beginnings of words, parts of words unless another word stands, and one without letters."""
+    known = term_table(spark, sf).select("term", "df").distinct().where(F.col("term").rlike("^[a-z]{3,}$"))
+    r = F.row_number().over(Window.orderBy(F.desc("df"), "term"))  # numbers the terms of the vocabulary, to make rules of
+    listed = known.withColumn("r", r).where("r <= 5000")
+    kind = F.element_at(F.array(*map(F.lit, "WBI")), (F.col("r") % 3 + 1).cast("int"))
+    left = F.when(F.col("r") % 3 == 2, "").otherwise(EDGE_L)
+    right = F.when(F.col("r") % 3 == 0, EDGE_R).otherwise("")
+    made = listed.select(F.concat(kind, F.lit("-"), "term").alias("code"), F.concat(left, "term", right).alias("include"), F.when(kind == "I", words("the")).alias("exclude"))
+    mail = spark.createDataFrame([("MAIL", "[0-9]+@|@[0-9]", None), ("NONE", r"\b()\b", None)], made.schema)
+    return rules.tag_by_rules(corpus(spark, sf), made.unionByName(mail))

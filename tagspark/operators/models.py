@@ -10,7 +10,6 @@ coefficient matrix, and nothing is shuffled.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -46,7 +45,7 @@ from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
 from tagspark.operators.ranking import argmax_class
 from tagspark.operators.text_ops import cleaned
-from tagspark.session import shared_folder
+from tagspark.session import keep_table, release
 
 # Coefficients that are sent to the executors at a time, in bytes; a larger matrix goes in blocks of labels.
 MAX_MATRIX_BYTES = 256 << 20
@@ -141,22 +140,8 @@ def featurise(df: DataFrame, text: str, s: Settings, model: PipelineModel, keep:
 
 
 def keep_for_fits(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that many fits read: it is written to the shared folder and read back,
-    so a lost executor costs no fit its input. ``release`` removes the files."""
-    path = f"{shared_folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept._kept_at = path
-    return kept
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove the files behind tables of :func:`keep_for_fits`; nothing may read them any more."""
-    for table in tables:
-        path = table._kept_at
-        jvm = table.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    """A table that many fits read, kept as ``session.keep_table`` keeps it."""
+    return keep_table(df, "fit")
 
 
 # --- linear one-vs-rest model -------------------------------------------------

@@ -1,7 +1,8 @@
 """Tagging by include and exclude patterns.
 
-All rules become one projection of literal patterns: the text is read once,
-every pattern is compiled once per task, and nothing is shuffled.
+A list of rules becomes one projection of literal patterns: the text is read once,
+every pattern is compiled once per task, and nothing is shuffled. Rules given as a table, and lists
+too long for a plan, go through the word index of ``rule_index``.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagspark import fixed
 from tagspark.functions.codes import code_set, explode_rows, group_codes, split_codes, with_groups
+from tagspark.operators.rule_index import FLAGS, RuleIndex, build_index, indexed_sets, letter_words
 
-# Case-insensitive, with Unicode letters, digits and word edges.
-FLAGS = "(?iU)"
 #: Rules of plain words from which on finding a text's words first is worth it.
 MANY_RULES = 20
+#: Rules that a plan holds as literals; longer lists are indexed.
+PLAN_RULES = 300
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ def _stated(pattern: str | None) -> bool:
 def load_rules(table: DataFrame) -> list[Rule]:
     """Rules of a taxonomy table (``code, include, exclude``) on the driver, one partition at a time.
 
-    They become literals of the plan, so their number is bounded by what a plan can hold, not here.
+    They become literals of the plan; a longer list than a plan should hold is better left a table (see ``tag_sets``).
     """
     rows = table.select("code", "include", "exclude").toLocalIterator()
     return [Rule(*row) for row in rows if _stated(row["include"])]
@@ -58,13 +60,6 @@ def gate_words(pattern: str) -> list[str] | None:
     return None
 
 
-def letter_words(corpus: Column) -> Column:
-    """The runs of letters of a text, each once, folded at least as far as a pattern ignores case."""
-    runs = F.regexp_extract_all(corpus, F.lit(r"(\p{L}+)"), F.lit(1))
-    # the dotted I folds to i; that also keeps the two case changes from being taken for one
-    return F.array_distinct(F.transform(runs, lambda w: F.lower(F.translate(F.upper(w), "İ", "I"))))
-
-
 def matched_codes(corpus: Column, rules: Iterable[Rule], letters: Column | None = None) -> Column:
     """Sorted codes of all rules that hold for the text.
 
@@ -85,14 +80,28 @@ def matched_codes(corpus: Column, rules: Iterable[Rule], letters: Column | None
     return code_set(F.array_compact(F.array(*hits)) if hits else F.lit(None).cast("array<string>"))
 
 
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.code, r.include, r.exclude) for r in rules], "code string, include string, exclude string")
+
+
 def tag_sets(
     df: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame | RuleIndex,
     corpus: str = "corpus",
     include_groups: bool = False,
     out: str = "codes",
 ) -> DataFrame:
-    """Every record with its set of codes, empty when no rule holds."""
+    """Every record with its set of codes, empty when no rule holds.
+
+    ``rules`` may be a table (code, include, exclude) of any length; the index is then built by actions on ``df``, which should be a
+    stored table. An index built before may be given too, and released when its results are written.
+    """
+    if not isinstance(rules, (DataFrame, RuleIndex)) and len(rules) > PLAN_RULES:
+        rules = rule_table(df.sparkSession, rules)
+    if isinstance(rules, (DataFrame, RuleIndex)):
+        index = rules if isinstance(rules, RuleIndex) else build_index(df, rules, corpus)
+        sets = indexed_sets(df, index, corpus, out)
+        return sets.withColumn(out, with_groups(F.col(out))) if include_groups else sets
     gated = sum(gate_words(r.include) is not None for r in rules if _stated(r.include)) >= MANY_RULES
     rows = df.withColumn("_letters", letter_words(F.col(corpus))) if gated else df
     codes = matched_codes(F.col(corpus), rules, F.col("_letters") if gated else None)
@@ -101,7 +110,7 @@ def tag_sets(
 
 def tag_by_rules(
     df: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame | RuleIndex,
     corpus: str = "corpus",
     include_groups: bool = False,
     id: str = "org_id",
@@ -113,7 +122,7 @@ def tag_by_rules(
 
 def tag_by_rules_eval(
     gold: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame | RuleIndex,
     include_groups: bool = False,
     corpus: str = "corpus",
     truth: str = "tags",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -52,3 +54,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of a table that is read several times: it is written to the shared folder and read back,
+    so a lost executor costs no reader its input, and numbers given to rows stay. ``release`` removes the files."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files behind tables of :func:`keep_table`; nothing may read them any more."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
