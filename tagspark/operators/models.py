@@ -42,7 +42,7 @@ from tagspark.functions.codes import explode_rows, split_codes
 from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, word_tokens
 from tagspark.operators import features
 from tagspark.operators.decide import decided
-from tagspark.operators.linear import FEATURES, arrow_vectors, fit_linear, margins
+from tagspark.operators.linear import FEATURES, Target, View, arrow_vectors, fit_linear, fit_views, label_sizes, margins
 from tagspark.operators.ranking import argmax_class
 from tagspark.operators.text_ops import cleaned
 from tagspark.session import keep_table, release
@@ -281,38 +281,113 @@ def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "no
 
     Full-batch steps reach the optimum that stochastic ones circle around.
     """
-    kind = {"log_loss": "logistic", "modified_huber": "modified_huber"}[loss]
-    return fit_linear(features, kind, alpha, weights, tol=1e-3)
+    return fit_linear(features, _SGD_LOSSES[loss], alpha, weights, tol=1e-3)
 
 
-def train_final(
+_SGD_LOSSES = {"log_loss": "logistic", "modified_huber": "modified_huber"}
+
+
+def prepared(
     gold: DataFrame, s: Settings, corpus: str = "corpus", truth: str = "tags",
     id: str = "org_id", lexicon: DataFrame | None = None,
-) -> OvrModel:
-    """Fit the chosen settings on all labelled rows.
-
-    A lexicon ``(surface, lemma)`` puts cleaned words in their base form; the model keeps it for scoring.
-    """
+) -> tuple[PipelineModel, DataFrame]:
+    """Feature stages fitted on labelled rows, and the rows' ``labels, features``, kept for fits (``release`` them)."""
     text = cleaned(gold, corpus, lexicon, id) if s.clean_text else gold.withColumn("_text", F.col(corpus))
     rows = text.select(id, "_text", F.array_distinct(split_codes(F.col(truth))).alias("labels"))
     # Counting, weighting and fitting all read the tokens: make them once.
     tokens = keep_for_fits(_tokenised(rows, "_text", s))
     pipeline = feature_union(tokens, s)
     kept = keep_for_fits(pipeline.transform(tokens).select("labels", FEATURES))
+    release(tokens)
+    return pipeline, kept
+
+
+def targets(s: Settings, labels: Sequence[str], n: int) -> list[Target]:
+    """What the settings fit for each label on ``n`` rows: the objectives of ``fit_ovr_logistic``, ``fit_ovr_svc`` and ``fit_ovr_sgd``."""
+    if s.model_family == "logistic":
+        loss, l2, bias, tol = "logistic", 1.0 / (s.model_c * n), False, None
+    elif s.model_family == "linear_svc":
+        loss, l2, bias, tol = "squared_hinge", 1.0 / (s.model_c * n), True, None
+    else:
+        loss, l2, bias, tol = _SGD_LOSSES[s.sgd_loss], s.sgd_alpha, False, 1e-3
+    return [Target(c, loss, l2, s.class_weight_mode, bias, tol=tol) for c in labels]
+
+
+def link_of(s: Settings) -> str:
+    """How margins become scores."""
+    if s.model_family == "logistic" or (s.model_family == "sgd" and s.sgd_loss == "log_loss"):
+        return "sigmoid"
+    return "margin" if s.model_family == "linear_svc" else "clipped"
+
+
+def train_final(
+    gold: DataFrame, s: Settings, corpus: str = "corpus", truth: str = "tags",
+    id: str = "org_id", lexicon: DataFrame | None = None,
+) -> OvrModel:
+    """Fit the chosen settings on all labelled rows.
+
+    A lexicon ``(surface, lemma)`` puts cleaned words in their base form; the model keeps it for scoring.
+    """
+    pipeline, kept = prepared(gold, s, corpus, truth, id, lexicon)
     try:
-        if s.model_family == "logistic":
-            fitted = fit_ovr_logistic(kept, s.model_c, s.class_weight_mode)
-            link = "sigmoid"
-        elif s.model_family == "linear_svc":
-            fitted = fit_ovr_svc(kept, s.model_c, s.class_weight_mode)
-            link = "margin"
-        else:
-            fitted = fit_ovr_sgd(kept, s.sgd_loss, s.sgd_alpha, s.class_weight_mode)
-            link = "sigmoid" if s.sgd_loss == "log_loss" else "clipped"
+        sizes, n = label_sizes(kept)
+        labels = sorted(sizes)
+        fitted = fit_views({"all": View(kept, targets(s, labels, n))})["all"]
     finally:
-        release(kept, tokens)
-    labels, coef, intercept, steps = fitted
-    return OvrModel(s, pipeline, labels, coef, intercept, link, {"steps": steps}, lexicon if s.clean_text else None)
+        release(kept)
+    steps = dict(zip(labels, fitted.report, strict=True))
+    return OvrModel(s, pipeline, labels, fitted.coef, fitted.intercept, link_of(s), {"steps": steps}, lexicon if s.clean_text else None)
+
+
+def train_many(named: dict[str, tuple[DataFrame, Sequence[Settings]]], corpus: str = "corpus", truth: str = "tags", id: str = "org_id") -> dict[str, list[OvrModel]]:
+    """Models of many settings on several sets of rows (splits, or texts made of other fields), all fitted together.
+
+    The settings of one set must agree in how features are made. Features are made once for each set; the jobs of
+    the fits do not depend on how many settings there are.
+    """
+    views, pipelines, kept = {}, {}, []
+    try:
+        for name, (rows, settings) in named.items():
+            if len({feature_key(s) for s in settings}) > 1:
+                raise ValueError(f"settings of {name!r} make different features")
+            pipelines[name], features = prepared(rows, settings[0], corpus, truth, id)
+            kept.append(features)
+            sizes, n = label_sizes(features)
+            views[name] = View(features, [t for s in settings for t in targets(s, sorted(sizes), n)])
+        fitted = fit_views(views)
+    finally:
+        release(*kept)
+    out: dict[str, list[OvrModel]] = {}
+    for name, (_, settings) in named.items():
+        k = len(views[name].targets) // len(settings)
+        labels = [t.label for t in views[name].targets[:k]]
+        for i, s in enumerate(settings):
+            part, f = slice(i * k, (i + 1) * k), fitted[name]
+            out.setdefault(name, []).append(OvrModel(s, pipelines[name], labels, f.coef[part], f.intercept[part], link_of(s), {"steps": dict(zip(labels, f.report[part], strict=True))}))
+    return out
+
+
+def feature_key(s: Settings) -> tuple:
+    """What features depend on."""
+    return s.fields, s.clean_text, s.ngram_max, s.char_ngram_max, s.min_df
+
+
+def ranked_many(models: Sequence[OvrModel], names: Sequence[str], df: DataFrame, corpus: str = "corpus", keep: Sequence[str] = ("org_id",)) -> DataFrame:
+    """``name``, ``keep`` columns and ``ranked`` of several models that share features and labels, in one pass over the texts."""
+    one = models[0]
+    vectors = featurise(one.text_of(df, corpus), "_text", one.settings, one.features, keep)
+    scored = _score_vectors(vectors, keep, np.vstack([m.coef for m in models]), np.concatenate([m.intercept for m in models]), "margin")
+    k = len(one.labels)
+    labels = F.array(*[F.lit(x) for x in one.labels]) if k else F.expr("cast(array() as array<string>)")
+    which = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i * k + 1).alias("start"), F.lit(m.link).alias("link")) for i, (n, m) in enumerate(zip(names, models, strict=True))])
+    rows = scored.select(*keep, "_scores", F.explode(which).alias("_m"))
+
+    def score(x):
+        clipped = (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) + 1.0) / 2.0
+        return F.when(F.col("_m.link") == "sigmoid", 1.0 / (1.0 + F.exp(-x))).when(F.col("_m.link") == "clipped", clipped).otherwise(x)
+
+    pairs = F.zip_with(F.slice("_scores", F.col("_m.start"), F.lit(k)), labels, lambda x, c: F.struct((-score(x)).alias("neg"), c.alias("code")))
+    return rows.select(F.col("_m.name").alias("name"), *keep, F.array_sort(pairs).alias("ranked"))
 
 
 # --- single-class models --------------------------------------------------------
@@ -450,37 +525,90 @@ def model_compare(
     return out
 
 
+_CLASS_SETTINGS = Settings(clean_text=True, ngram_max=1, char_ngram_max=0, min_df=1)
+
+
+@dataclass
+class TwoStepModel:
+    """A model of sections, one model for each section with several codes, and the codes of the others."""
+
+    first: OvrModel
+    inside: dict[str, OvrModel]
+    single: dict[str, str]
+
+    def predict(self, df: DataFrame, corpus: str = "corpus", keep: Sequence[str] = ("org_id",)) -> DataFrame:
+        """``keep`` columns, ``section`` and ``class_code``: the best section, then its best code; first in order on ties.
+
+        Predicted sections are kept, so the first model scores the rows once and each second model only reads its own part.
+        """
+        best = F.col("ranked")[0]["code"]
+        rows = df.select(*keep, corpus) if corpus not in keep else df.select(*keep)
+        guess = self.first.ranked(rows, corpus, list(dict.fromkeys([*keep, corpus])))
+        guess = keep_for_fits(guess.withColumn("section", best).drop("ranked"))
+        code = F.lit(None).cast("string")
+        for section, only in self.single.items():
+            code = F.when(F.col("section") == section, F.lit(only)).otherwise(code)
+        out = guess.where(~F.col("section").isin(list(self.inside))).select(*keep, "section", code.alias("class_code"))
+        for section, model in sorted(self.inside.items()):
+            part = model.ranked(guess.where(F.col("section") == section), corpus, [*keep, "section"])
+            out = out.unionByName(part.select(*keep, "section", best.alias("class_code")))
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One folder for each model, and the codes that need none."""
+        self.first.save(spark, f"{path}/first")
+        for section, model in self.inside.items():
+            model.save(spark, f"{path}/inside/{section}")
+        rows = [(s, None) for s in self.inside] + list(self.single.items())
+        spark.createDataFrame(rows, "section string, code string").coalesce(1).write.mode("overwrite").parquet(f"{path}/sections")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TwoStepModel:
+        rows = spark.read.parquet(f"{path}/sections").collect()
+        return TwoStepModel(
+            OvrModel.load(spark, f"{path}/first"),
+            {r["section"]: OvrModel.load(spark, f"{path}/inside/{r['section']}") for r in rows if r["code"] is None},
+            {r["section"]: r["code"] for r in rows if r["code"] is not None},
+        )
+
+
+def fit_two_step(
+    train: DataFrame, corpus: str = "corpus", label: str = "class_code", id: str = "org_id",
+    c: float = fixed.CLASS_C, max_iter: int = fixed.CLASS_MAX_ITER,
+) -> TwoStepModel:
+    """Multinomial models of the sections and of the codes inside each, fitted by one series of jobs.
+
+    Each section's model sees its own rows and its own terms, so it is the model a fit of its own would give; rows of other sections
+    are in other packs. A section of one code needs no model.
+    """
+    rows = keep_for_fits(train.where(F.col(label).isNotNull()).select(id, corpus, F.col(label).alias("_code"), F.substring(label, 1, 1).alias("_section")))
+    found = rows.groupBy("_section").agg(F.array_sort(F.collect_set("_code")).alias("codes")).collect()
+    single = {r["_section"]: r["codes"][0] for r in found if len(r["codes"]) == 1}
+    parts = {"": (rows, "_section")} | {r["_section"]: (rows.where(F.col("_section") == r["_section"]), "_code") for r in found if len(r["codes"]) > 1}
+    views, pipelines, kept = {}, {}, [rows]
+    try:
+        for name, (part, truth) in parts.items():
+            pipelines[name], features = prepared(part, _CLASS_SETTINGS, corpus, truth, id)
+            kept.append(features)
+            sizes, n = label_sizes(features)
+            views[name] = View(features, [Target(x, "softmax", 1.0 / (c * max(1, n)), group="classes") for x in sorted(sizes)])
+        fitted = fit_views(views, max_iter)
+    finally:
+        release(*kept)
+    made = {}
+    for name, f in fitted.items():
+        labels = [t.label for t in views[name].targets]
+        made[name] = OvrModel(_CLASS_SETTINGS, pipelines[name], labels, f.coef, f.intercept, "margin", {"steps": dict(zip(labels, f.report, strict=True))})
+    return TwoStepModel(made.pop(""), made, single)
+
+
 def two_step_classify(
     train: DataFrame, test: DataFrame, corpus: str = "corpus", label: str = "class_code",
     id: str = "org_id", max_iter: int = fixed.CLASS_MAX_ITER,
 ) -> DataFrame:
-    """Section first, then the code inside the predicted section.
-
-    Every section with several codes gets a model of its own; one with a single
-    code needs none. The predicted sections are kept, so the first model scores
-    the test rows once and each second model only reads its own part.
-    """
-    sectioned = train.withColumn("section", F.substring(label, 1, 1))
-    first = fit_class_lr(sectioned, corpus, "section", max_iter=max_iter)
-    rows = sectioned.groupBy("section").agg(F.array_sort(F.collect_set(label)).alias("codes")).collect()
-    labelled = test.withColumn("truth", F.col(label))
-    guess = first.predict(labelled, corpus, [id, "truth", corpus])
-    guess = keep_for_fits(
-        guess.select(id, "truth", corpus, F.col("class_code").alias("section"))
-    )
-    out = None
-    for row in sorted(rows, key=lambda r: r["section"]):
-        part = guess.where(F.col("section") == row["section"])
-        if len(row["codes"]) == 1:
-            done = part.select(id, "truth", "section", F.lit(row["codes"][0]).alias("class_code"))
-        else:
-            own = sectioned.where(F.col("section") == row["section"])
-            model = fit_class_lr(own, corpus, label, max_iter=max_iter)
-            done = model.predict(part, corpus, [id, "truth", "section"]).select(
-                id, "truth", "section", "class_code"
-            )
-        out = done if out is None else out.unionByName(done)
-    return out
+    """Section first, then the code inside the predicted section: ``id, truth, section, class_code`` of the test rows."""
+    model = fit_two_step(train, corpus, label, id, max_iter=max_iter)
+    return model.predict(test.withColumn("truth", F.col(label)), corpus, [id, "truth"])
 
 
 def two_step_counting(

@@ -183,25 +183,38 @@ def score_fits(
 ) -> DataFrame:
     """Fit every training key for every seed; scores of the held-out rows.
 
-    Actions: one fit per key and seed, each a series of Spark jobs. Settings
-    that only change how scores are read do not cause a fit.
+    All fits of all seeds are one series of jobs (``linear.fit_views``); texts are turned into features, and scored, once for each seed and
+    way of making features. Settings that only change how scores are read do not cause a fit.
     """
     spark = gold.sparkSession
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
     keys = params.dropDuplicates(["fit_key"]).orderBy("fit_key").collect()
+    families: dict[tuple, list] = {}
+    for row in keys:
+        s = settings_of(row)
+        families.setdefault(models.feature_key(s), []).append((row["fit_key"], s))
+    if not keys:
+        raise ValueError("no settings to fit")
+    devs, tests, named = [], {}, {}
     for seed in seeds:
         dev, test = ranking.split_holdout(gold, "org_id", test_size, seed)
         judged = rules.tag_by_rules_eval(with_corpus(test, fixed.DEFAULT_FIELDS), rule_list, include_groups)
         codes = judged.select("org_id", "true_codes", F.col("predicted_codes").alias("rule_codes"))
         # rules run once per seed; their codes travel beside the texts through every fit
-        dev, test = models.keep_for_fits(dev), models.keep_for_fits(test.join(codes, "org_id"))
-        for row in keys:
-            s = settings_of(row)
-            model = models.train_final(with_corpus(dev, s.fields), s)
-            ranked = model.ranked(with_corpus(test, s.fields), keep=["org_id", "true_codes", "rule_codes"])
-            # written fit by fit: the plan of the sweep does not grow with their number
-            ranked.select(F.lit(seed).alias("seed"), F.lit(row["fit_key"]).alias("fit_key"), *ranked.columns).write.mode("append").parquet(path)
-        models.release(dev, test)
+        dev, tests[seed] = models.keep_for_fits(dev), models.keep_for_fits(test.join(codes, "org_id"))
+        devs.append(dev)
+        for i, (family, fits) in enumerate(families.items()):
+            named[f"{seed}/{i}"] = with_corpus(dev, family[0]), [s for _, s in fits]
+    fitted = models.train_many(named)
+    for name, found in fitted.items():
+        seed, i = name.split("/")
+        family, fits = list(families.items())[int(i)]
+        held = with_corpus(tests[int(seed)], family[0])
+        ranked = models.ranked_many(found, [k for k, _ in fits], held, keep=["org_id", "true_codes", "rule_codes"])
+        # written part by part: the plan of the sweep does not grow with their number
+        rows = ranked.select(F.lit(int(seed)).alias("seed"), F.col("name").alias("fit_key"), "org_id", "true_codes", "rule_codes", "ranked")
+        rows.write.mode("append").parquet(path)
+    models.release(*devs, *tests.values())
     return spark.read.parquet(path)
 
 
