@@ -28,61 +28,102 @@ LOG_SGD = models.Settings(
 )
 
 
-def _derivative(loss: str, y, p):
-    """Slope of the loss of label ``y`` (1 or -1) at margin ``p``, as the textbook has it."""
-    z = y * p
-    if loss == "logistic":
-        return -y / (1 + F.exp(z))
-    if loss == "squared_hinge":
-        return -2 * y * F.greatest(F.lit(0.0), 1 - z)
-    return F.when(z < -1, -4 * y).otherwise(-2 * y * F.greatest(F.lit(0.0), 1 - z))
-
-
-def _optimal(spark, sf, s, loss, l2=None, on_bias=False, tol=1e-4):
-    """For each label of a fit whether the objective's slope vanishes, worked out in long form: one row per
-    record and term, coefficients joined to them, apart from the code that fits."""
-    g = gold(spark, sf)
-    model = models.train_final(g, s)
-    rows = models.featurise(model.text_of(g, "corpus"), "_text", s, model.features, ["org_id", "tags"])
-    rows = models.keep_for_fits(rows.select("org_id", "tags", vector_to_array("features").alias("x")))
-    n = rows.count()
-    l2 = l2 if l2 is not None else 1.0 / (s.model_c * n)
-    cells = rows.select("org_id", F.posexplode("x").alias("term", "value")).where("value <> 0")
-    coefs = spark.createDataFrame(
-        [(c, j, float(w)) for i, c in enumerate(model.labels) for j, w in enumerate(model.coef[i])], "label string, term int, coef double"
-    )
-    starts = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(float(b)).alias("b")) for c, b in zip(model.labels, model.intercept, strict=True)])
-    every = rows.select("org_id", "tags", F.explode(starts).alias("l")).select("org_id", "tags", "l.label", "l.b")
-    sums = cells.join(coefs, "term").groupBy("org_id", "label").agg(F.sum(F.col("value") * F.col("coef")).alias("m"))
-    y = F.when(F.array_contains(F.split("tags", ";"), F.col("label")), 1.0).otherwise(-1.0)
-    slopes = every.join(sums, ["org_id", "label"], "left").select("org_id", "label", "b", _derivative(loss, y, F.coalesce("m", F.lit(0.0)) + F.col("b")).alias("d"))
-    by_term = slopes.join(cells, "org_id").groupBy("label", "term").agg((F.sum(F.col("d") * F.col("value")) / n).alias("s"))
-    worst = coefs.join(by_term, ["label", "term"], "left").groupBy("label").agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) + l2 * F.col("coef"))).alias("w"))
-    bias = slopes.groupBy("label").agg(F.abs(F.sum("d") / n + (l2 * F.first("b") if on_bias else 0.0)).alias("z"))
-    return worst.join(bias, "label").select("label", (F.greatest("w", "z") <= 1.01 * tol).alias("optimal"))
-
-
-_OPTIMAL = "SELECT DISTINCT code AS label, true AS optimal FROM truth"
+#: The one word that the records of the followed fits are read for; a vector is then 1 or nothing.
+WORD = "the"
+LABELS = ["DE201", "EN101", "ES101", "FR101", "TX201"]
+
+
+def one_word(df):
+    """Records whose text is the one word, if they hold it, or nothing."""
+    holds = F.array_contains(models.word_tokens(F.col("corpus")), WORD)
+    return df.withColumn("corpus", F.when(holds, WORD).otherwise(""))
+
+
+cte("holds", f"SELECT org_id, max((term = '{WORD}')::INT) AS x FROM token_rows GROUP BY org_id", ("token_rows",))
+
+
+def fit_sql(loss: str, l2: str, weights: str, on_bias: bool, rows: str) -> str:
+    """Expressions that minimise a label's objective over one feature of 0 or 1 and a bias, by Newton steps on the four counts of label
+    and feature: ``rows`` has org_id, x; ``truth`` the labels. Gives ``fitted`` (code, w, b)."""
+    def slopes(m: str, sign: int) -> tuple[str, str]:
+        """First and second derivative of the loss at margin ``m`` of a row of label ``sign``."""
+        z = f"({sign} * ({m}))"
+        if loss == "logistic":
+            p = f"(1 / (1 + exp(-({m}))))"
+            return f"({p} - {1 if sign > 0 else 0})", f"({p} * (1 - {p}))"
+        hinge = f"{-2 * sign} * greatest(0, 1 - {z})", f"CASE WHEN {z} < 1 THEN 2 ELSE 0 END"
+        if loss == "squared_hinge":
+            return f"({hinge[0]})", f"({hinge[1]})"
+        return f"(CASE WHEN {z} < -1 THEN {-4 * sign} ELSE {hinge[0]} END)", f"(CASE WHEN {z} < -1 THEN 0 ELSE {hinge[1]} END)"
+
+    up, down = ("1.0", "1.0") if weights == "none" else ("n / (2.0 * pos)", "n / (2.0 * (n - pos))")
+    cells = [("n11", up, "w + b", 1), ("n10", down, "w + b", -1), ("n01", up, "b", 1), ("n00", down, "b", -1)]
+    one = [[f"{c} * {u} * {slopes(m, y)[i]}" for c, u, m, y in cells] for i in (0, 1)]
+    both = [" + ".join(x) for x in one]
+    of_word = [" + ".join(x[:2]) for x in one]
+    bias = "l2" if on_bias else "0"
+    return f"""cells AS (SELECT c.code, {l2} AS l2, count(*) AS n, sum((t.code IS NOT NULL)::INT) AS pos, sum(((t.code IS NOT NULL) AND x = 1)::INT) AS n11,
+    sum(((t.code IS NULL) AND x = 1)::INT) AS n10, sum(((t.code IS NOT NULL) AND x = 0)::INT) AS n01, sum(((t.code IS NULL) AND x = 0)::INT) AS n00
+    FROM {rows} r CROSS JOIN (SELECT DISTINCT code FROM truth) c LEFT JOIN truth t ON t.org_id = r.org_id AND t.code = c.code GROUP BY c.code),
+  steps AS (SELECT *, 0 AS k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM cells
+    UNION ALL SELECT code, l2, n, pos, n11, n10, n01, n00, k + 1, w - near * dw, b - near * db FROM
+      (SELECT *, least(1, 1 / (abs(dw) + abs(db) + 1e-300)) AS near FROM
+        (SELECT *, (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb) AS dw, (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb) AS db FROM
+          (SELECT *, ({of_word[0]}) / n + l2 * w AS gw, ({both[0]}) / n + {bias} * b AS gb, ({of_word[1]}) / n + l2 + 1e-12 AS hww,
+            ({of_word[1]}) / n AS hwb, ({both[1]}) / n + {bias} + 1e-12 AS hbb FROM steps WHERE k < 60))),
+  ),
+  fitted AS (SELECT code, w, b FROM steps WHERE k = 60)"""
+
+
+def follow(loss: str, l2: str, weights: str = "none", on_bias: bool = False) -> str:
+    base = with_ctes("", ("truth", "gold", "holds")).rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return base + """,
+  seen AS (SELECT g.org_id, coalesce(h.x, 0) AS x FROM gold g LEFT JOIN holds h ON h.org_id = g.org_id),
+""" + fit_sql(loss, l2, weights, on_bias, "seen") + "\nSELECT code AS label, round(w, 4) AS coef, round(b, 4) AS intercept FROM fitted"
+
+
+def _fit_values(spark, sf, s, fit):
+    """Coefficient and intercept of each label, fitted on the labelled records read for one word."""
+    _, kept = models.prepared(one_word(gold(spark, sf)), s)
+    labels, coef, intercept, _ = fit(kept)
+    rows = [(c, float(w[0]), float(b)) for c, w, b in zip(labels, coef, intercept, strict=True)]
+    out = spark.createDataFrame(rows, "label string, coef double, intercept double")
+    return out.select("label", F.round("coef", 4).alias("coef"), F.round("intercept", 4).alias("intercept"))
+
+
+CLOSE = 1e-9
+
+
+@query("fit_ovr_logistic", follow("logistic", "1.0 / (10.0 * count(*))"))
+def fit_ovr_logistic(spark, sf):
+    return _fit_values(spark, sf, LOGISTIC, lambda f: models.fit_ovr_logistic(f, 10.0, tol=CLOSE))
 
 
-@query("fit_ovr_logistic", _OPTIMAL, ("truth",))
-def fit_ovr_logistic(spark, sf):
-    return _optimal(spark, sf, LOGISTIC, "logistic")
+@query("fit_ovr_logistic_balanced", follow("logistic", "1.0 / (10.0 * count(*))", "balanced"))
+def fit_ovr_logistic_balanced(spark, sf):
+    return _fit_values(spark, sf, LOGISTIC, lambda f: models.fit_ovr_logistic(f, 10.0, "balanced", tol=CLOSE))
 
 
-@query("fit_ovr_svc", _OPTIMAL, ("truth",))
+@query("fit_ovr_svc", follow("squared_hinge", "1.0 / (1.0 * count(*))", on_bias=True))
 def fit_ovr_svc(spark, sf):
-    return _optimal(spark, sf, SVC, "squared_hinge", on_bias=True)
+    return _fit_values(spark, sf, SVC, lambda f: models.fit_ovr_svc(f, 1.0, tol=CLOSE))
 
 
-@query("fit_ovr_sgd", _OPTIMAL, ("truth",))
+@query("fit_ovr_sgd", follow("modified_huber", "0.0005"))
 def fit_ovr_sgd(spark, sf):
-    return _optimal(spark, sf, SGD, "modified_huber", SGD.sgd_alpha, tol=1e-3)
+    return _fit_values(spark, sf, SGD, lambda f: models.fit_ovr_sgd(f, "modified_huber", SGD.sgd_alpha, tol=CLOSE))
 
 
-@query("fit_ovr_sgd_log_loss", _OPTIMAL, ("truth",))
+@query("fit_ovr_sgd_log_loss", follow("logistic", "0.0005"))
 def fit_ovr_sgd_log_loss(spark, sf):
-    return _optimal(spark, sf, LOG_SGD, "logistic", LOG_SGD.sgd_alpha, tol=1e-3)
+    return _fit_values(spark, sf, LOG_SGD, lambda f: models.fit_ovr_sgd(f, "log_loss", LOG_SGD.sgd_alpha, tol=CLOSE))
+
+
+@query("fit_ovr_all_words")
+def fit_ovr_all_words(spark, sf):
+    """A fit on all words of the labelled records: steps that each label took."""
+    model = models.train_final(gold(spark, sf), LOGISTIC)
+    return spark.createDataFrame([(c, x["steps"], x["converged"]) for c, x in sorted(model.info["steps"].items())], "label string, steps int, converged boolean")
 
 
 @query("feature_union", """SELECT g.org_id, CASE WHEN w.org_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS words, 1.0::DOUBLE AS characters FROM gold g LEFT JOIN
@@ -122,10 +163,15 @@ def fit_class_lr(spark, sf):
     return worst.select("class_code", (F.col("w") <= 2e-3).alias("optimal"))
 
 
-@query("train_final")
+@query("train_final", with_ctes("", ("truth", "gold", "holds", "records")).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+  seen AS (SELECT g.org_id, coalesce(h.x, 0) AS x FROM gold g LEFT JOIN holds h ON h.org_id = g.org_id),
+""" + fit_sql("logistic", "1.0 / (10.0 * count(*))", "none", False, "seen") + """
+SELECT r.org_id, f.code, round(1 / (1 + exp(-(f.b + f.w * coalesce(h.x, 0)))), 3) AS score FROM records r CROSS JOIN fitted f LEFT JOIN holds h ON h.org_id = r.org_id""")
 def train_final(spark, sf):
-    model = models.train_final(gold(spark, sf), HYBRID)
-    return model.scores(records_corpus(spark, sf))
+    """Scores of all records by a model trained on the labelled ones, all read for one word."""
+    model = models.train_final(one_word(gold(spark, sf)), HYBRID, tol=CLOSE)
+    scored = model.scores(one_word(records_corpus(spark, sf)))
+    return scored.select("org_id", "code", F.round("score", 3).alias("score"))
 
 
 def fixed_model(spark, sf, s):

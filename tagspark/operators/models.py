@@ -49,6 +49,8 @@ from tagspark.session import keep_table, release
 
 # Coefficients that are sent to the executors at a time, in bytes; a larger matrix goes in blocks of labels.
 MAX_MATRIX_BYTES = 256 << 20
+# Largest slope at which a fit ends; stochastic settings ask for less.
+TOL, SGD_TOL = 1e-4, 1e-3
 
 
 @dataclass(frozen=True)
@@ -260,28 +262,28 @@ def _score_block(rows: DataFrame, coef, intercept, link: str) -> DataFrame:
 
 # --- fitting -----------------------------------------------------------------
 
-def fit_ovr_logistic(features: DataFrame, c: float, weights: str = "none"):
+def fit_ovr_logistic(features: DataFrame, c: float, weights: str = "none", tol: float = TOL):
     """(labels, coefficients, intercepts): logistic regression per label.
 
     Minimising ``C * sum(loss) + |w|^2 / 2`` is the same as minimising the mean
     loss plus ``|w|^2 / (2 * C * n)``.
     """
-    return fit_linear(features, "logistic", 1.0 / (c * features.count()), weights)
+    return fit_linear(features, "logistic", 1.0 / (c * features.count()), weights, tol=tol)
 
 
-def fit_ovr_svc(features: DataFrame, c: float, weights: str = "none"):
+def fit_ovr_svc(features: DataFrame, c: float, weights: str = "none", tol: float = TOL):
     """Linear support vector machine per label: squared hinge, intercept
     regularised with the other coefficients."""
     l2 = 1.0 / (c * features.count())
-    return fit_linear(features, "squared_hinge", l2, weights, regularise_bias=True)
+    return fit_linear(features, "squared_hinge", l2, weights, regularise_bias=True, tol=tol)
 
 
-def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "none"):
+def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "none", tol: float = SGD_TOL):
     """``log_loss`` or ``modified_huber`` with an L2 penalty of ``alpha``.
 
     Full-batch steps reach the optimum that stochastic ones circle around.
     """
-    return fit_linear(features, _SGD_LOSSES[loss], alpha, weights, tol=1e-3)
+    return fit_linear(features, _SGD_LOSSES[loss], alpha, weights, tol=tol)
 
 
 _SGD_LOSSES = {"log_loss": "logistic", "modified_huber": "modified_huber"}
@@ -302,15 +304,16 @@ def prepared(
     return pipeline, kept
 
 
-def targets(s: Settings, labels: Sequence[str], n: int) -> list[Target]:
+def targets(s: Settings, labels: Sequence[str], n: int, tol: float | None = None) -> list[Target]:
     """What the settings fit for each label on ``n`` rows: the objectives of ``fit_ovr_logistic``, ``fit_ovr_svc`` and ``fit_ovr_sgd``."""
+    close = tol or (SGD_TOL if s.model_family == "sgd" else TOL)
     if s.model_family == "logistic":
-        loss, l2, bias, tol = "logistic", 1.0 / (s.model_c * n), False, None
+        loss, l2, bias = "logistic", 1.0 / (s.model_c * n), False
     elif s.model_family == "linear_svc":
-        loss, l2, bias, tol = "squared_hinge", 1.0 / (s.model_c * n), True, None
+        loss, l2, bias = "squared_hinge", 1.0 / (s.model_c * n), True
     else:
-        loss, l2, bias, tol = _SGD_LOSSES[s.sgd_loss], s.sgd_alpha, False, 1e-3
-    return [Target(c, loss, l2, s.class_weight_mode, bias, tol=tol) for c in labels]
+        loss, l2, bias = _SGD_LOSSES[s.sgd_loss], s.sgd_alpha, False
+    return [Target(c, loss, l2, s.class_weight_mode, bias, tol=close) for c in labels]
 
 
 def link_of(s: Settings) -> str:
@@ -322,9 +325,9 @@ def link_of(s: Settings) -> str:
 
 def train_final(
     gold: DataFrame, s: Settings, corpus: str = "corpus", truth: str = "tags",
-    id: str = "org_id", lexicon: DataFrame | None = None,
+    id: str = "org_id", lexicon: DataFrame | None = None, tol: float | None = None,
 ) -> OvrModel:
-    """Fit the chosen settings on all labelled rows.
+    """Fit the chosen settings on all labelled rows, until no slope is above ``tol`` (by default that of the model family).
 
     A lexicon ``(surface, lemma)`` puts cleaned words in their base form; the model keeps it for scoring.
     """
@@ -332,7 +335,7 @@ def train_final(
     try:
         sizes, n = label_sizes(kept)
         labels = sorted(sizes)
-        fitted = fit_views({"all": View(kept, targets(s, labels, n))})["all"]
+        fitted = fit_views({"all": View(kept, targets(s, labels, n, tol))})["all"]
     finally:
         release(kept)
     steps = dict(zip(labels, fitted.report, strict=True))
