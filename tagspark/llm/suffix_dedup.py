@@ -330,7 +330,6 @@ def shortened(docs: DataFrame) -> DataFrame:
     return out.select(*back)
 
 
-
 def op1_suffix_array_dedup(spark, sf: str) -> DataFrame:
     out = dedup(table(spark, sf, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
@@ -351,3 +350,20 @@ def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int
             stay, at = stay + b[at:a], e
         out.append((len(b), sum(e - a for a, e in runs), len(runs), hashlib.sha256(stay + b[at:]).hexdigest()))
     return out
+
+
+def passages_by_brute_force(texts: list[str | None]) -> list[str | None]:
+    """For tests: each text without its repeated passages, by counting every string."""
+    from collections import Counter
+
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + PASSAGE_BYTES] for b in raw for i in range(len(b) - PASSAGE_BYTES + 1))
+    out: list[str | None] = []
+    for t, b in zip(texts, raw, strict=True):
+        runs = joined([(i, i + PASSAGE_BYTES) for i in range(len(b) - PASSAGE_BYTES + 1) if seen[b[i : i + PASSAGE_BYTES]] > 1])
+        stay, at = b"", 0
+        for a, e in runs:
+            if e - a >= LENGTH or len(b[a:e].split()) >= PASSAGE_WORDS:
+                stay, at = stay + b[at:a], e
+        out.append(None if t is None else (stay + b[at:]).decode("utf-8", "ignore"))
+    return out

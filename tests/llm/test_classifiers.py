@@ -102,3 +102,73 @@ def test_viterbi_is_the_best_path():
     for s, n in zip(starts, lens, strict=True):
         if n:
             assert value(got[s : s + n].tolist(), s) == pytest.approx(max(value(p, s) for p in itertools.product(range(3), repeat=int(n))), abs=1e-4)
+
+
+def test_two_hundred_languages():
+    """Labels beyond 127 keep their numbers."""
+    import numpy as np
+
+    scores = np.full((4, 200), -5.0, np.float32)
+    scores[:2, 180], scores[2:, 199] = 0, 0
+    assert langid.viterbi(scores, np.array([0]), np.array([4]), 1.0).tolist() == [180, 180, 199, 199]
+
+
+def test_frequent_n_grams_of_one_language_do_not_push_out_another(spark, frame, monkeypatch):
+    monkeypatch.setattr(langid, "GRAMS", 40)
+    rows = [(i, t, "en") for i, t in enumerate(texts(LANGS["en"], 300, 1))] + [(1000 + i, t, "fr") for i, t in enumerate(texts(LANGS["fr"], 6, 2))]
+    model = langid.fit(frame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == ["en", "fr"] and any("é" in g or "m" in g for g in model["place"])
+
+
+def plain_hits(folded, lexicon, exceptions):
+    found = [(i, i + len(t)) for t in lexicon for i in range(len(folded)) if folded.startswith(t, i)]
+    shields = [(i, i + len(p)) for p in exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    return sorted(h for h in found if not any(a <= h[0] and h[1] <= b for a, b in shields))
+
+
+def test_matcher_on_random_texts():
+    r = random.Random(9)
+    for _ in range(200):
+        lexicon = {f" {''.join(r.choices('ab', k=r.randrange(1, 4)))}{r.choice(['', ' '])}": 1.0 for _ in range(5)}
+        exceptions = list({f" {''.join(r.choices('ab', k=r.randrange(1, 3)))} {''.join(r.choices('ab', k=r.randrange(1, 3)))} " for _ in range(4)} - set(lexicon))
+        text = toxicity.fold(" ".join("".join(r.choices("ab", k=r.randrange(1, 5))) for _ in range(30)))
+        got = sorted((a, b) for a, b, _ in toxicity.Matcher(lexicon, exceptions).hits(text))
+        assert got == plain_hits(text, lexicon, exceptions)
+
+
+def test_phrases_keep_long_neighbours():
+    long = "x" * 300
+    m = toxicity.Matcher({" bad": 1.0}, [])
+    assert toxicity.phrases(m, f"{long} bad {long}") == {f" {long} bad ", f" bad {long} "}
+    assert toxicity.phrases(m, "bad") == set()
+
+
+def test_long_texts_train_the_quality_dictionaries(spark, frame):
+    """Texts beyond one piece teach as well: here no text is shorter."""
+    rows = [(i, " ".join(texts(GOOD, 1, i, 30_000)), 1) for i in range(16)] + [(100 + i, " ".join(texts(BAD, 1, 50 + i, 30_000)), 0) for i in range(16)]
+    docs = frame([(i, t, "", 0) for i, t, _ in rows], DOCS)
+    model = quality.fit(docs, frame([(i, y) for i, _, y in rows], LABELS))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert min(len(t) for _, t, _ in rows) > quality.PIECE and all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
+def test_quality_sizes_against_the_library():
+    import zstandard
+
+    good, bad = (quality.dictionary([t.encode() for t in texts(w, 300, 7)]) for w in (GOOD, BAD))
+    for t in (b"", b"river bread", " ".join(BAD * 50).encode()):
+        x = quality.Sizes(good, bad).features([t])[0]
+        n = [len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_checksum=False, write_content_size=False, write_dict_id=False).compress(t)) for d in (good, bad, b"")]
+        assert x[0] == pytest.approx((n[1] - n[0]) / (len(t) + 32)) and x[4] == pytest.approx(n[2] / (len(t) + 32))
+
+
+def test_repeated_rows_and_ties_score_alike(spark, frame):
+    rows = [(i, t, i % 2) for i, t in enumerate(texts(GOOD + ["moron"], 80, 11))]
+    docs = frame([(i, t, "", 0) for i, t, _ in rows for _ in range(2)], DOCS)
+    labels = frame([(i, y) for i, _, y in rows], LABELS)
+    for scored in (toxicity.score(docs, toxicity.fit(docs, labels)), quality.score(docs, quality.fit(docs, labels))):
+        seen = {}
+        for r in scored.collect():
+            assert seen.setdefault(r.doc_id, r.score) == r.score
+    tie = langid.fit(frame([(1, "same words here", "aa"), (2, "same words here", "bb")], "doc_id long, text string, lang string"))
+    assert [r.lang_pred for r in langid.predict(frame([(1, "same words"), (1, "same words")], "doc_id long, text string"), tie).collect()] == ["aa", "aa"]

@@ -49,12 +49,9 @@ def test_each_stage_by_brute_force(stages):
         first.setdefault(root[fps[i]], i)
     assert sorted(r[0] for r in after) == sorted(first.values())
     before, after = rows["repeated_passages"]
-    want = {r[0]: w for r, w in zip(before, suffix_dedup.brute_force([r[1] for r in before]), strict=True)}
-    assert {r[0] for r in before} == {r[0] for r in after}
-    for r in after:
-        n, removed = want[r[0]][:2]
-        assert n - removed - 6 * want[r[0]][2] <= len((r[1] or "").encode()) <= n - removed
-        assert r[4] == len(r[1])
+    want = {r[0]: w for r, w in zip(before, suffix_dedup.passages_by_brute_force([r[1] for r in before]), strict=True)}
+    assert {r[0]: r[1] for r in after} == want
+    assert all(r[4] == len(r[1]) for r in after)
     before, after = rows["decontaminate"]
     items = [tuple(r) for r in before and stages[0][1].sparkSession.read.parquet(f"{SF}/benchmark.parquet").collect()]
     marks = decontam.brute_force([r[1] for r in before], items)
@@ -68,7 +65,7 @@ def test_each_stage_by_brute_force(stages):
 def test_query_is_registered(spark):
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and sum(k.startswith("op") and k[2].isdigit() for k in entry.queries()) == 10
+    assert "pipeline" in entry.queries() and sum(k.startswith("op") and k[2].isdigit() for k in entry.queries()) == 13
 
 
 def test_op9_agrees_with_sql(spark):
@@ -77,3 +74,46 @@ def test_op9_agrees_with_sql(spark):
 
     name = "op9_benchmark_decontamination"
     assert compare(spark, connection(SF), catalog.QUERIES[name], catalog.ORACLE[name], SF) == ""
+
+
+def test_planted_passages_leave(spark):
+    """Passages of 51 to 60 words that stand in two documents go, in whatever language; others stay."""
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvwxyzéü", k=r.randrange(3, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for n in range(51, 61):
+        passages.append(own(n))
+        rows += [(len(rows) + i, f"{own(30)}\n{passages[-1]}\n{own(40)}", "en", "s", 5) for i in range(2)]
+    short = own(20)
+    rows += [(100 + i, f"{own(20)} {short} {own(20)}", "en", "s", 5) for i in range(2)]
+    rows += [(200, None, "en", "s", 0), (201, "", "en", "s", 0), (202, own(30_000), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {x.doc_id: x.text for x in cp.repeated_passages(spark, df, SF).collect()}
+    assert not any(p[8:-8] in (t or "") for p in passages for t in got.values())
+    assert all(got[i] == t for i, t, *_ in rows if i >= 100)
+    assert all(len(got[i].split()) >= 65 for i in range(20))
+
+
+def test_stages_take_nulls_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred int, score string, row int, key string, piece int"
+    text = "the house stands at the water and people walk there every day " * 12
+    rows = [(1, text, "en", None, 3, 1, "s", 1, "k", 7), (2, None, None, "a", None, None, None, None, None, None), (3, "", "en", "", 0, 0, "", 0, "", 0), (3, "", "en", "", 0, 0, "", 0, "", 0), (None, text + "x", "en", "a", 1, 1, "s", 1, "k", 7)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, SF)
+            n = out.count()
+            if name != "packed_sequences":
+                assert out.columns == docs.columns and n <= given.count()
+            if name == "repeated_passages":
+                assert n == given.count()
+    assert cp.language(spark, docs, SF).where("text is null or text = ''").count() == 0
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
