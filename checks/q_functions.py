@@ -13,6 +13,8 @@ from checks.base import (
     records,
     table,
     taxonomy,
+    values,
+    with_ctes,
 )
 from tagspark import fixed
 from tagspark.functions import codes as cd
@@ -141,6 +143,33 @@ def lemma_lookup(spark, sf):
     return out.select("org_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
+_ENDINGS = values(fixed.NOUN_ENDINGS, "old", "new")
+
+
+@query("lemma_endings", with_ctes("", ("corpus", "dfs", "token_rows")).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+lexicon AS (SELECT term AS word FROM dfs WHERE length(term) <= 4 OR NOT ends_with(term, 's')),
+listed AS (SELECT term AS surface, substr(term, 1, length(term) - 2) AS form FROM dfs WHERE ends_with(term, 'on')),
+surfaces AS (SELECT DISTINCT term AS surface FROM token_rows),
+grown AS (SELECT surface, surface AS form, 0 AS level FROM surfaces
+  UNION SELECT g.surface, left(g.form, length(g.form) - length(e.old)) || e.new, g.level + 1 FROM grown g JOIN ({_ENDINGS}) e ON ends_with(g.form, e.old)
+  WHERE g.level < 1 OR length(g.surface) <= 100),
+forms AS (SELECT surface, form, greatest(level, 1) AS level FROM grown WHERE surface NOT IN (SELECT surface FROM listed)
+  UNION ALL SELECT surface, form, 1 FROM listed UNION ALL SELECT surface, surface, 1 FROM listed),
+best AS (SELECT surface, form FROM forms WHERE form IN (SELECT word FROM lexicon)
+  QUALIFY row_number() OVER (PARTITION BY surface ORDER BY level, length(form), form) = 1),
+toks AS (SELECT org_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT org_id, regexp_extract_all(lower(corpus), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM corpus))
+SELECT org_id, string_agg(coalesce(b.form, t.term), ' ' ORDER BY pos) AS lemmas FROM toks t LEFT JOIN best b ON b.surface = t.term GROUP BY org_id""")
+def lemma_endings(spark, sf):
+    """Base forms by ending rules and exceptions, for words that the lexicon does not list too."""
+    from checks.base import term_table
+
+    known = term_table(spark, sf).select("term").distinct()
+    lexicon = known.where((F.length("term") <= 4) | ~F.endswith("term", F.lit("s"))).select(F.col("term").alias("word"))
+    listed = known.where(F.endswith("term", F.lit("on"))).select(F.col("term").alias("surface"), F.expr("substring(term, 1, length(term) - 2)").alias("lemma"))
+    rows = corpus(spark, sf).select("org_id", tx.word_tokens(F.col("corpus")).alias("tokens"))
+    return text_ops.lemmatise(rows, "tokens", lexicon, listed).select("org_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
 @query("word_tokens", "SELECT org_id, array_to_string(regexp_extract_all(lower(corpus), '[\\p{L}\\p{N}_]{2,}'), ' ') AS tokens FROM corpus", ("corpus",))
 def word_tokens(spark, sf):
     return corpus(spark, sf).select("org_id", F.array_join(tx.word_tokens(F.col("corpus")), " ").alias("tokens"))

@@ -159,3 +159,10 @@ APPROACH_GRIDS = {
         "hybrid_label_confidence_threshold": [0.005, 0.0075, 0.01, 0.015],
     },
 }
+
+
+# Endings of English nouns and what stands for them in the base form, in order.
+NOUN_ENDINGS = [
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
+    ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+]

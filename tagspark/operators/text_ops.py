@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagspark import fixed
+
 from tagspark.functions.codes import no_codes
 from tagspark.functions.text import clean_text, clean_words
+from tagspark.session import keep_table
 
 #: Entries of a lexicon that are broadcast at a time.
 BLOCK_ENTRIES = 500_000
+#: Characters beyond which a word is no word; it is shortened by one ending only.
+LONGEST_WORD = 100
 
 
 def lemma_lookup(
@@ -33,6 +40,59 @@ def lemma_lookup(
     return lists.select(id, F.array_compact(words).alias(out))
 
 
+def _shortened(form: Column, endings: Sequence[tuple[str, str]]) -> Column:
+    """The forms that one ending rule makes of a word."""
+    made = [F.when(F.endswith(form, F.lit(old)), F.concat(F.substring(form, F.lit(1), F.char_length(form) - len(old)), F.lit(new))) for old, new in endings]
+    return F.array_compact(F.array(*made))
+
+
+def ending_forms(word: Column, endings: Sequence[tuple[str, str]] = tuple(fixed.NOUN_ENDINGS)) -> Column:
+    """All forms that ending rules make of a word, with the number of rules used: array of (level, form), the word itself first."""
+    def grow(acc: Column, level: Column) -> Column:
+        new = F.array_distinct(F.flatten(F.transform(acc["last"], lambda f: _shortened(f, endings))))
+        rows = F.transform(new, lambda f: F.struct(level.alias("level"), f.alias("form")))
+        return F.struct(F.concat(acc["all"], rows).alias("all"), new.alias("last"))
+
+    start = F.struct(F.array(F.struct(F.lit(0).alias("level"), word.alias("form"))).alias("all"), F.array(word).alias("last"))
+    # every rule but one shortens a word, and that one cannot follow itself
+    steps = F.when(F.char_length(word) > LONGEST_WORD, F.lit(1)).otherwise(F.char_length(word) + 1)
+    return F.aggregate(F.sequence(F.lit(1), steps), start, grow, lambda acc: acc["all"])
+
+
+def base_forms(
+    words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None,
+    endings: Sequence[tuple[str, str]] = tuple(fixed.NOUN_ENDINGS),
+) -> DataFrame:
+    """``(surface, lemma)`` for every distinct ``surface`` of ``words``, known to a lexicon or not.
+
+    A word listed in ``exceptions`` (surface, lemma) takes the shortest of itself and the lemmas listed for it that the lexicon
+    (word) has. Any other word takes the shortest of itself and the forms of one ending rule that the lexicon has; if it has none, the forms of two
+    rules are asked for, and so on. Of equally long forms the first in alphabet is taken; a word without any known form stays as it
+    is; of a word beyond ``LONGEST_WORD`` characters only the forms of one rule are asked for. The vocabulary meets the lexicon in one join.
+    """
+    own = words.select("surface").where("surface is not null").distinct()
+    known = lexicon.select(F.col("word").alias("form")).distinct()
+    forms = own.select("surface", F.explode(ending_forms(F.col("surface"), endings)).alias("_f")).select("surface", F.greatest("_f.level", F.lit(1)).alias("level"), "_f.form")
+    if exceptions is not None:
+        listed = exceptions.select("surface", F.col("lemma").alias("form")).where("surface is not null and form is not null")
+        both = listed.unionByName(listed.select("surface", F.col("surface").alias("form"))).distinct().join(own, "surface", "left_semi")
+        forms = forms.join(listed, "surface", "left_anti").unionByName(both.withColumn("level", F.lit(1)))
+    # forms of a word are few, whatever the word
+    best = F.row_number().over(Window.partitionBy("surface").orderBy("level", F.char_length("form"), "form"))
+    found = forms.join(known, "form", "left_semi").withColumn("_n", best).where("_n = 1").select("surface", F.col("form").alias("lemma"))
+    return own.join(found, "surface", "left").withColumn("lemma", F.coalesce("lemma", "surface"))
+
+
+def lemmatise(
+    df: DataFrame, tokens_col: str, lexicon: DataFrame, exceptions: DataFrame | None = None, id: str = "org_id", out: str = "lemmas",
+    endings: Sequence[tuple[str, str]] = tuple(fixed.NOUN_ENDINGS),
+) -> DataFrame:
+    """Tokens replaced by their base forms, order kept. The forms are worked out once for each distinct token."""
+    vocabulary = df.select(F.explode(tokens_col).alias("surface")).distinct()
+    forms = keep_table(base_forms(vocabulary, lexicon, exceptions, endings).where("lemma <> surface"), "base-forms")
+    return lemma_lookup(df, tokens_col, forms, id, out)
+
+
 def cleaned(
     df: DataFrame, corpus: str, lexicon: DataFrame | None = None, id: str = "org_id", out: str = "_text"
 ) -> DataFrame:
