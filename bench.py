@@ -33,6 +33,10 @@ HEADLINE = [
     "income_band",
     "tag_many_rules",
     "fit_ovr_logistic",
+    "fit_ovr_all_words",
+    "tag_indexed_rules",
+    "lemma_endings",
+    "two_step_classify",
     "job_tag_ovr",
 ]
 
