@@ -44,6 +44,7 @@ from tagspark.operators import features
 from tagspark.operators.decide import decided
 from tagspark.operators.linear import FEATURES, Target, View, arrow_vectors, fit_linear, fit_views, label_sizes, margins
 from tagspark.operators.ranking import argmax_class
+from tagspark.operators.stochastic import fit_stochastic
 from tagspark.operators.text_ops import cleaned
 from tagspark.session import keep_table, release
 
@@ -278,11 +279,14 @@ def fit_ovr_svc(features: DataFrame, c: float, weights: str = "none", tol: float
     return fit_linear(features, "squared_hinge", l2, weights, regularise_bias=True, tol=tol)
 
 
-def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "none", tol: float = SGD_TOL):
+def fit_ovr_sgd(features: DataFrame, loss: str, alpha: float, weights: str = "none", tol: float = SGD_TOL, passes: int | None = None, seed: int = fixed.SEED):
     """``log_loss`` or ``modified_huber`` with an L2 penalty of ``alpha``.
 
-    Full-batch steps reach the optimum that stochastic ones circle around.
+    With ``passes``, true stochastic steps, at most so many passes (see ``stochastic``); without, full-batch steps reach the
+    optimum that stochastic ones circle around.
     """
+    if passes is not None:
+        return fit_stochastic(features, loss, alpha, weights, passes, seed)
     return fit_linear(features, _SGD_LOSSES[loss], alpha, weights, tol=tol)
 
 
