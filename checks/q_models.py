@@ -12,7 +12,7 @@ from checks.base import (
     GROUPED, METRIC_COLS, METRIC_SQL, OBJECTIVE_SQL, RULES, cte, gold, metrics_sql, query, records, rows6, scratch, stacked, taxonomy, values, with_ctes,
 )
 from tagspark import fixed
-from tagspark.operators import joins, metrics, models, ranking
+from tagspark.operators import boosting, joins, metrics, models, ranking
 from tagspark.plans import grid, jobs, workflow
 
 cte("gt", "SELECT DISTINCT org_id, unnest(regexp_extract_all(lower(corpus), '[\\p{L}\\p{N}_]{2,}')) AS term FROM gold", ("gold",))
@@ -214,11 +214,29 @@ def model_io(spark, sf):
 @query("model_compare")
 def model_compare(spark, sf):
     dev, test = ranking.split_holdout(gold(spark, sf), "org_id", 0.3, 42)
-    names = ["naive_bayes", "logistic_regression", "linear_svc", "sgd_hinge", "decision_tree", "random_forest"]
+    names = ["naive_bayes", "logistic_regression", "linear_svc", "sgd_hinge", "decision_tree", "random_forest", "ada_boost"]
     rows = models.model_compare(models.keep_for_fits(dev), models.keep_for_fits(test), names)
     return metrics.multiclass_metrics(rows, "truth", "class_code", by=("classifier",))
 
 
+@query("boosted_stump", with_ctes("", ("gold", "gt")).rstrip() + """,
+  side AS (SELECT t.term, c.class_code, count(g.org_id) AS n FROM (SELECT DISTINCT term FROM gt) t CROSS JOIN (SELECT DISTINCT class_code FROM gold) c
+    LEFT JOIN (SELECT gt.term, gold.class_code, gold.org_id FROM gt JOIN gold ON gt.org_id = gold.org_id) g ON g.term = t.term AND g.class_code = c.class_code GROUP BY ALL),
+  whole AS (SELECT class_code, count(*) AS total, (SELECT count(*) FROM gold) AS rows FROM gold GROUP BY class_code),
+  both_sides AS (SELECT s.term, s.class_code, s.n / w.rows::DOUBLE AS yes, (w.total - s.n) / w.rows::DOUBLE AS no FROM side s JOIN whole w ON w.class_code = s.class_code),
+  gains AS (SELECT term, round(sum(yes * yes) / sum(yes) + CASE WHEN sum(no) > 1e-12 THEN sum(no * no) / sum(no) ELSE 0 END, 9) AS gain FROM both_sides GROUP BY term),
+  best AS (SELECT term FROM gains ORDER BY gain DESC, term LIMIT 1),
+  named AS (SELECT b.term, (SELECT class_code FROM both_sides x WHERE x.term = b.term ORDER BY round(yes, 9) DESC, class_code LIMIT 1) AS present,
+    (SELECT class_code FROM both_sides x WHERE x.term = b.term ORDER BY round(no, 9) DESC, class_code LIMIT 1) AS absent FROM best b)
+SELECT g.org_id, n.term, CASE WHEN h.org_id IS NULL THEN n.absent ELSE n.present END AS class_code FROM gold g CROSS JOIN named n
+  LEFT JOIN gt h ON h.org_id = g.org_id AND h.term = n.term""")
+def boosted_stump(spark, sf):
+    """The first round of boosting on all words, and what its stump says of each record."""
+    g = gold(spark, sf)
+    model = boosting.fit_boosted(g, rounds=1, clean=False)
+    return model.predict(g).select("org_id", F.lit(model.stumps[0].term).alias("term"), "class_code")
+
+
 @query("two_step_holdout")
 def two_step_holdout(spark, sf):
     """Both steps fitted on one part of the labelled rows and judged on the other."""

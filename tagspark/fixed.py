@@ -166,3 +166,6 @@ NOUN_ENDINGS = [
     ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
     ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
 ]
+
+# Boosted stumps of the classifier comparison.
+BOOSTING_ROUNDS = 50
