@@ -16,11 +16,13 @@ from checks.base import (
     table,
     taxonomy,
     with_ctes,
+    corpus,
+    scratch,
 )
 from checks.q_aggregates import _category_sql
 from checks.q_joins import REGISTERS_SQL, registers
-from tagspark.operators import joins, registry
-from tagspark.plans import jobs
+from tagspark.operators import joins, registry, rules
+from tagspark.plans import jobs, refresh
 from tagspark.plans import registers as raw_registers
 
 
@@ -202,3 +204,29 @@ def job_report_largest(spark, sf):
   AND row_number() OVER (PARTITION BY code ORDER BY md5('42:' || org_id)) <= 10""", ("group_tags", "taxonomy", "records"))
 def job_report_random(spark, sf):
     return jobs.job_report(records(spark, sf), group_tags(spark, sf), taxonomy(spark))["random"].select("code", "org_id")
+
+
+def _deliveries(spark, sf):
+    """An older delivery of the records: without some, some with another text, some that are gone since."""
+    new = corpus(spark, sf).select("org_id", "corpus")
+    n = F.regexp_extract("org_id", r"(\d+)$", 1).cast("long")
+    old = new.where(n % 10 != 0).withColumn("corpus", F.when(n % 7 == 1, "the licence").otherwise(F.col("corpus")))
+    gone = new.where(n % 13 == 0).withColumn("org_id", F.concat("org_id", F.lit("-old")))
+    return old.unionByName(gone), new
+
+
+@query("refresh_tags", "SELECT org_id, code FROM tags", ("tags",))
+def refresh_tags(spark, sf):
+    """Tags of a store filled from the older delivery and refreshed by the newer one."""
+    store = refresh.TagStore(spark, scratch(spark) + "/store")
+    for delivery in _deliveries(spark, sf):
+        store.refresh(delivery, lambda df: rules.tag_by_rules(df, RULES))
+    return store.tags()
+
+
+@query("refresh_changes", """SELECT change, count(*) AS n FROM (
+  SELECT CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 7 = 1 AND corpus <> 'the licence' THEN 'changed' END AS change FROM (SELECT *, CAST(substr(org_id, 8) AS BIGINT) AS doc_id FROM corpus)
+  UNION ALL SELECT 'removed' FROM corpus WHERE CAST(substr(org_id, 8) AS BIGINT) % 13 = 0) WHERE change IS NOT NULL GROUP BY change""", ("corpus",))
+def refresh_changes(spark, sf):
+    old, new = (refresh.record_digests(x) for x in _deliveries(spark, sf))
+    return refresh.snapshot_diff(old, new).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
