@@ -25,18 +25,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+#: Folders that ``keep`` wrote in this process and nothing has removed yet, oldest first.
+KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the steps before. The rows also
-    keep their places, so ids that depend on a task's number stay as they are.
+    keep their places, so ids that depend on a task's number stay as they are. ``drop_kept`` removes the folder once the
+    results made from it are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    KEPT.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession, start: int = 0, also: str | None = None) -> int:
+    """Remove the folders that ``keep`` wrote, from number ``start`` on (``len(KEPT)`` at an earlier time), and the folder
+    ``also``; the number removed. What was made from them must be written, and nothing may read them any more."""
+    paths = KEPT[start:] + ([also] if also else [])
+    del KEPT[start:]
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def crc_bucket(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the folds of the learning contracts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

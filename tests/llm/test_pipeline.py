@@ -117,3 +117,25 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_kept_folders_can_be_removed(spark):
+    from pathlib import Path
+
+    from tagspark.llm import common
+
+    start = len(common.KEPT)
+    one, two = (common.keep(spark.range(3), n) for n in ("one", "two"))
+    folders = [Path(p.removeprefix("file:")) for p in common.KEPT[start:]]
+    assert one.union(two).count() == 6 and all(f.is_dir() for f in folders)
+    assert common.drop_kept(spark, start + 1) == 1 and [f.is_dir() for f in folders] == [True, False]
+    assert common.drop_kept(spark, start) == 1 and not folders[0].is_dir() and len(common.KEPT) == start
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from tagspark.llm import common
+
+    start = len(common.KEPT)
+    n = cp.run(spark, SF).count()
+    assert n > 0 and len(common.KEPT) - start < 8
+    common.drop_kept(spark, start)
