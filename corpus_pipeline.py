@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tagspark.llm import decontam, langid, packing, simhash, suffix_dedup
-from tagspark.llm.common import shared_dir, table
+from tagspark.llm.common import KEPT, drop_kept, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote for itself, and the rows that it read, are removed once its own rows are written. The result reads what the
+    last stage kept and the rows of the one before; ``drop_kept`` removes the former when it is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path, start = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", len(KEPT)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_kept(spark, start, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
