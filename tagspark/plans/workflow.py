@@ -11,6 +11,7 @@ from tagspark import fixed
 from tagspark.functions.codes import code_set, split_codes
 from tagspark.operators import aggregates, decide, joins, metrics, models, ranking, rules
 from tagspark.plans import grid
+from tagspark.plans.steps import Steps, table_digest
 
 
 def labelled(stacked: DataFrame, label: str = "tags", id: str = "org_id") -> DataFrame:
@@ -178,14 +179,30 @@ def full_workflow(
     dev: DataFrame, test: DataFrame, rule_list: Sequence[rules.Rule], params: DataFrame,
     seeds: Sequence[int] = tuple(fixed.GRID_SEEDS), metric: str = "weighted_primary",
     specs=tuple(fixed.GUARDRAILS), test_size: float = fixed.TEST_SHARE, store: str | None = None,
+    steps: Steps | None = None,
 ) -> tuple[dict[str, models.Settings], DataFrame]:
     """Search on the development rows, then judge the winners on the test rows.
 
-    With ``store``, the winners are saved there, and what is judged is what was read back.
+    With ``store``, the winners are saved there, and what is judged is what was read back. With ``steps``, the scores of all
+    fits, the summary and the final table are kept as steps, under digests of the rows, rules and settings they depend on; run again, the
+    workflow goes on after the last step that was finished, and ``steps.clean()`` removes what it no longer needs.
     """
-    summary = grid.summarise(grid.run_grid(dev, rule_list, params, seeds, test_size))
+    if steps is None:
+        summary = grid.summarise(grid.run_grid(dev, rule_list, params, seeds, test_size))
+    else:
+        fits = params.dropDuplicates(["fit_key"]).select("fit_key")
+        searched = {
+            "rows": table_digest(dev.select("org_id", "name", "activities", "objects", "tags")), "rules": [(r.code, r.include, r.exclude) for r in rule_list],
+            "fits": table_digest(fits), "seeds": list(seeds), "test_size": test_size,
+        }
+        scored = steps.table("scores", searched, lambda: grid.score_fits(dev, rule_list, params, seeds, test_size))
+        searched["settings"] = table_digest(params)
+        summary = steps.table("summary", searched, lambda: grid.summarise(grid.grid_sweep(scored, params)))
     best = grid.pick_best(summary, metric, specs=specs)
     if store is not None:
         grid.save_best(dev.sparkSession, best, store)
         best = grid.load_best(dev.sparkSession, store)
-    return best, final_holdout(dev, test, rule_list, best)
+    if steps is None:
+        return best, final_holdout(dev, test, rule_list, best)
+    judged = {**searched, "test": table_digest(test.select("org_id", "name", "activities", "objects", "tags")), "best": {k: repr(v) for k, v in best.items()}}
+    return best, steps.table("final", judged, lambda: final_holdout(dev, test, rule_list, best))
