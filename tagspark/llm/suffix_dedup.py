@@ -28,7 +28,7 @@ from tagspark.llm.sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 48
 #: Pipeline stage: bytes that repeats are looked for with, and words from which on such a run is a passage.
-PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+PASSAGE_BYTES, PASSAGE_WORDS = 250, 50
 #: Starts in a segment at most; longer runs of one hash are cut.
 RUN = 1024
 #: Different segments of one hash beyond which it is cut finer; bytes of a shard; starts of a finer cut.

@@ -81,7 +81,7 @@ def test_planted_passages_leave(spark):
     import random
 
     r = random.Random(6)
-    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvwxyzéü", k=r.randrange(3, 9)))
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvwxyzéü", k=r.randrange(4, 9)))
     own = lambda n: " ".join(word() for _ in range(n))
     rows, passages = [], []
     for n in range(51, 61):
