@@ -43,6 +43,7 @@ from tagspark.functions.text import char_wb_ngrams, clean_text, word_ngrams, wor
 from tagspark.operators import features
 from tagspark.operators.boosting import fit_boosted
 from tagspark.operators.decide import decided
+from tagspark.operators.kernel import fit_kernel_svc
 from tagspark.operators.linear import FEATURES, Target, View, arrow_vectors, fit_linear, fit_views, label_sizes, margins
 from tagspark.operators.ranking import argmax_class
 from tagspark.operators.stochastic import fit_stochastic
@@ -520,12 +521,14 @@ def model_compare(
     available = classifiers(max_iter=max_iter)
     held = test.withColumn("truth", F.col(label))
     shared, out = None, None
-    for name in names or [*available, "linear_svc", "ada_boost"]:
+    for name in names or [*available, "linear_svc", "kernel_svc", "ada_boost"]:
         if name == "linear_svc":
             ranked = fit_class_svc(train, corpus, label).ranked(held, corpus, [id, "truth"])
             rows = ranked.withColumn("class_code", F.col("ranked")[0]["code"])
         elif name == "ada_boost":
             rows = fit_boosted(train, corpus=corpus, label=label).predict(held, corpus, [id, "truth"])
+        elif name == "kernel_svc":
+            rows = fit_kernel_svc(train, corpus, label).predict(held, corpus, [id, "truth"])
         else:
             model = fit_class(train, available[name], corpus, label, features=shared)
             shared = model.features
