@@ -215,7 +215,7 @@ def model_io(spark, sf):
 def model_compare(spark, sf):
     dev, test = ranking.split_holdout(gold(spark, sf), "org_id", 0.3, 42)
     names = ["naive_bayes", "logistic_regression", "linear_svc", "sgd_hinge", "decision_tree", "random_forest", "kernel_svc", "ada_boost"]
-    rows = models.model_compare(models.keep_for_fits(dev), models.keep_for_fits(test), names)
+    rows = models.model_compare(models.keep_for_fits(dev), models.keep_for_fits(test), names, rounds=8)
     return metrics.multiclass_metrics(rows, "truth", "class_code", by=("classifier",))
 
 

@@ -513,6 +513,7 @@ def fit_class_svc(
 def model_compare(
     train: DataFrame, test: DataFrame, names: Sequence[str] | None = None,
     corpus: str = "corpus", label: str = "class_code", id: str = "org_id", max_iter: int = fixed.CLASS_MAX_ITER,
+    rounds: int = fixed.BOOSTING_ROUNDS,
 ) -> DataFrame:
     """Predictions of several learners on one split: (classifier, id, truth, class_code).
 
@@ -526,7 +527,7 @@ def model_compare(
             ranked = fit_class_svc(train, corpus, label).ranked(held, corpus, [id, "truth"])
             rows = ranked.withColumn("class_code", F.col("ranked")[0]["code"])
         elif name == "ada_boost":
-            rows = fit_boosted(train, corpus=corpus, label=label).predict(held, corpus, [id, "truth"])
+            rows = fit_boosted(train, rounds, corpus, label).predict(held, corpus, [id, "truth"])
         elif name == "kernel_svc":
             rows = fit_kernel_svc(train, corpus, label).predict(held, corpus, [id, "truth"])
         else:
