@@ -84,7 +84,7 @@ def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 #: Bytes of a batch that goes to a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

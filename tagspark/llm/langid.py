@@ -25,7 +25,7 @@ GRAMS = 100_000
 PENALTY = 6.0
 CACHE = 300_000
 #: Tokens scored together, and characters labelled together; they bound what a worker holds.
-LEARNED, LABELLED = 8_192, 4 << 20
+LEARNED, LABELLED = 8_192, 2 << 20
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SPECIES = ("LATIN", "GREEK", "CYRILLIC", "ARABIC", "HEBREW", "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK")
 
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: dict, penalty: float = PENALTY) -> DataFrame
             return names, (mass.max(1) / np.maximum(total, 1)).tolist(), n_spans
 
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 texts = text_list(part.column("text"))
                 order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
                 found: list = [None] * len(texts)
