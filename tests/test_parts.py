@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagspark.operators import features, joins, models
+from tagspark.operators.text_ops import lemma_lookup
 
 TEXTS = [("1", "a a b c"), ("2", "a b"), ("2", "b d"), (None, "a d"), (None, "d"), ("3", ""), ("4", None), ("5", "e a c c")]
 
@@ -69,3 +70,14 @@ def test_two_step_counting_of_tables_without_parts(spark):
     laid = features.term_counts(lists(spark), "t", 1, keep_part=True).drop("df")
     assert plain == {tuple(r) for r in models.two_step_counting(laid, labels, laid).collect()}
     assert {r[0] for r in plain} == {"1", "2", "5"}
+
+
+def test_lemmas_are_looked_up_where_the_record_lies(spark):
+    """Before, the lexicon was counted and broadcast, and one row per token travelled by record."""
+    lexicon = spark.createDataFrame([("a", "z"), ("a", "y"), ("c", "k"), ("none", "n")], "surface string, lemma string")
+    made = lemma_lookup(lists(spark), "t", lexicon)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(made))
+    assert dealt and not [x for x in dealt if "org_id" in x] and "Broadcast" not in plan(made)
+    got = {r.org_id: r.lemmas for r in made.collect()}
+    # rows of one id come together by place
+    assert got == {"1": ["y", "y", "b", "k"], "2": ["b", "y", "b", "d"], None: ["d", "y", "d"], "3": [], "4": [], "5": ["e", "y", "k", "k"]}
