@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tagspark.operators import features, joins, models
+from tagspark.operators import features, joins, models, term_lists
 from tagspark.operators.text_ops import lemma_lookup
 
 TEXTS = [("1", "a a b c"), ("2", "a b"), ("2", "b d"), (None, "a d"), (None, "d"), ("3", ""), ("4", None), ("5", "e a c c")]
@@ -81,3 +81,34 @@ def test_lemmas_are_looked_up_where_the_record_lies(spark):
     got = {r.org_id: r.lemmas for r in made.collect()}
     # rows of one id come together by place
     assert got == {"1": ["y", "y", "b", "k"], "2": ["b", "y", "b", "d"], None: ["d", "y", "d"], "3": [], "4": [], "5": ["e", "y", "k", "k"]}
+
+
+def test_lists_of_terms_hold_what_rows_hold(spark):
+    tf, df = by_hand()
+    made = term_lists.term_lists(lists(spark), "t", 2)
+    got = {(r.org_id, t.term): (t.tf, t.df) for r in made.collect() for t in r.terms}
+    assert got == {k: (n, df[k[1]]) for k, n in tf.items() if df[k[1]] >= 2}
+    assert made.count() == len({i for i, w in tf if df[w] >= 2})
+    gaps = spark.createDataFrame([("1", ["a", None, "a"]), (None, [None]), ("2", []), ("3", None)], "org_id string, t array<string>")
+    assert [(r.org_id, [tuple(t) for t in r.terms]) for r in term_lists.term_lists(gaps, "t", 1).collect()] == [("1", [("a", 2, 1)])]
+
+
+def test_weights_of_lists_are_scaled_without_a_sort_by_record(spark):
+    """Before, scores sorted one row per record and term to scale them, and made the tokens twice."""
+    n = spark.createDataFrame([(6,)], "n long")
+    weights = term_lists.weights_of(term_lists.term_lists(lists(spark), "t", 1), n)
+    rows = features.tfidf_l2(features.term_counts(lists(spark), "t", 1, keep_part=True), n)
+    want = {(r.org_id, r.term): r.weight for r in rows.collect()}
+    assert {(r.org_id, r.term): r.weight for r in weights.collect()} == pytest.approx(want)
+    assert not [x for x in re.findall(r"(?:Sort \[|hashpartitioning\()[^\n]*", plan(weights)) if "org_id" in x or re.search(r"\bid#", x)]
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_scores_of_lists_and_rows_agree(spark, given):
+    n = spark.createDataFrame([(6,)], "n long")
+    coefs = spark.createDataFrame([("a", "X", 2.0), ("c", "X", 1.0), ("d", "Y", 3.0)], "term string, code string, coef double")
+    records = lists(spark).select("org_id").distinct() if given else None
+    rows = features.tfidf_l2(features.term_counts(lists(spark), "t", 1, keep_part=True), n)
+    weights = term_lists.weights_of(term_lists.term_lists(lists(spark), "t", 1), n)
+    one, two = ({(r.org_id, r.code): r.score for r in features.score_labels(x, coefs, {"X": 0.5, "Y": -1.0}, records=records).collect()} for x in (rows, weights))
+    assert one == pytest.approx(two)
