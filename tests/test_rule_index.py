@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tagspark.functions.patterns import Piece, required_pieces
+from tagspark.functions.patterns import RUN_EDGES, Piece, required_pieces
 from tagspark.operators import rule_index, rules
 
 
@@ -74,3 +74,20 @@ def test_the_plan_does_not_grow_with_the_rules(spark):
     assert plan(5) == plan(400)
     long = rules.tag_by_rules(texts, [rules.Rule(f"R{i:03}", rf"\bw{'o' * i}rd") for i in range(400)])
     assert [tuple(r) for r in long.collect()] == [(1, "R001")]
+
+
+def test_plain_words_are_settled_without_a_pattern(spark):
+    left, right = RUN_EDGES
+    made = [
+        rules.Rule("A", f"{left}(the|of){right}"), rules.Rule("B", f"{left}kel"), rules.Rule("C", f"ing{right}", "island"), rules.Rule("D", "sti", f"{left}(not){right}"),
+        rules.Rule("E", f"{left}(xis){right}", f"{left}(not){right}"), rules.Rule("A", "stra"),
+    ]
+    texts = ["the_x", "THE x", "\u00e9the of", "\u212aELVIN", "xkelp kel", "R\u0131ng, sing1", "SINGING \u0130sland", "re\u017ft\u0130ng", "not testing", "x\u0130\u017f", "X\u0131S not", "Stra\u00dfe", "", None, "THE x"]
+    rows = spark.createDataFrame([(i, t, [t]) for i, t in enumerate(texts)], "org_id int, corpus string, own array<string>").repartition(3)
+    index = rule_index.build_index(rows, rules.rule_table(spark, made))
+    assert index.n_words == 0 and index.anywhere.isEmpty() and not index.plain.isEmpty()
+    got = {r.org_id: (r.own, r.codes) for r in rules.tag_sets(rows, index).collect()}
+    want = {r.org_id: (r.own, r.codes) for r in rules.tag_sets(rows, made).collect()}
+    assert got == want and sorted({c for _, codes in want.values() for c in codes}) == list("ABCDE")
+    mixed = [*made, rules.Rule("F", r"t.e"), rules.Rule("G", r"\bkel\w*", f"{left}(not){right}")]
+    assert sorted(map(str, rules.tag_sets(rows, rules.rule_table(spark, mixed)).collect())) == sorted(map(str, rules.tag_sets(rows, mixed).collect()))
