@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.base import eval_rows, query, records, scratch, table
 from tagspark import schema
+from tagspark.operators import ranking
 from tagspark.sources import config_io, readers, sinks
 
 _CUSTOMER = T.StructType(
@@ -56,15 +56,15 @@ def scan_csv(spark, sf):
 @query("scan_multi", """SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY id) AS place FROM
   (SELECT item_id AS id, text, CAST(0 AS INTEGER) AS file_ord FROM benchmark UNION ALL SELECT doc_id, text, 1 FROM documents)""")
 def scan_multi(spark, sf):
-    """Texts keep their line breaks, and rows the order in which they stand in their file."""
+    """Texts keep their line breaks, and rows the order in which they stand in their folder of files."""
     base = scratch(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, key, path in (("benchmark", "item_id", "/a"), ("documents", "doc_id", "/b")):
-        rows = table(spark, sf, name).select(F.col(key).alias("id"), "text").coalesce(1).sortWithinPartitions("id")
+        rows = table(spark, sf, name).select(F.col(key).alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id")
         rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(base + path)
     kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
     out = readers.scan_multi(spark, [base + "/a", base + "/b"], kinds, multi_line=True)
-    place = F.row_number().over(Window.partitionBy("file_ord").orderBy("row_ord"))
-    return out.withColumn("place", place.cast("long")).drop("row_ord")
+    return ranking.place_within(out, "file_ord", ["row_ord"], "place").drop("row_ord")
 
 
 @query("scan_dayfirst", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, o_totalprice FROM orders""")

@@ -154,12 +154,14 @@ def scan_multi(
     date_pattern: str = ISO,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Several CSV files stacked, with ``file_ord`` and ``row_ord``.
+    """Several CSV files, or folders of them, stacked, with ``file_ord`` and ``row_ord``.
 
-    ``row_ord`` grows along each file: the start of the block a row was read from, then its place in that
-    block. ``multi_line`` reads line breaks inside quotes, each file in one task (see :func:`scan_csv`).
+    ``row_ord`` grows along each path: the file's name (a folder's files follow each other by name), the start of the block a
+    row was read from, then its place in that block. ``multi_line`` reads line breaks inside quotes, each file in one task (see
+    :func:`scan_csv`), so a large table with line breaks is better a folder of several files.
     """
     place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
     )

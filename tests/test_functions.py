@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from tagspark import fixed
 from tagspark.functions import codes, text
-from tagspark.operators import registry
+from tagspark.operators import ranking, registry
 from tagspark.operators.text_ops import lemma_lookup
 from tagspark.sources import readers, sinks
 
@@ -140,6 +140,26 @@ def test_files_stack_in_order(spark, tmp_path):
     assert got == [1, 2, 5, 6]
 
 
+def test_a_folder_of_files_is_read_in_order_by_several_tasks(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"part-{i}.csv").write_text("id,name\n" + "".join(f'{10 * i + j},"x\ny"\n' for j in range(1 + 4 * (i == 0))))
+    (tmp_path / "b.csv").write_text('id,name\n7,"z"\n')
+    df = readers.scan_multi(spark, [str(tmp_path / "a"), str(tmp_path / "b.csv")], KINDS, multi_line=True)
+    got = ranking.place_within(df, "file_ord", ["row_ord"], "place")
+    assert sorted((r.file_ord, r.place, r.id, r.name) for r in got.collect()) == [
+        *((0, i + 1, x, "x\ny") for i, x in enumerate([0, 1, 2, 3, 4, 10, 20])), (1, 1, 7, "z")
+    ]
+
+
+def test_places_of_a_large_group_lie_over_many_tasks(spark):
+    rows = spark.range(1000).selectExpr("if(id < 990, 'a', if(id < 995, null, 'b')) AS g", "id")
+    got = ranking.place_within(rows.repartition(4), "g", ["id"], "place")
+    start = {"a": 0, None: 990, "b": 995}
+    assert all(r.place == r.id - start[r.g] + 1 for r in got.collect()) and got.count() == 1000
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_records_to_table(spark):
     raw = spark.createDataFrame([("1", '{"a":"x","l":["p","q"]}'), ("2", '{"l":"no list"}')], "id string, fields string")
     kinds = T.StructType([T.StructField("a", T.StringType()), T.StructField("l", T.StringType())])
