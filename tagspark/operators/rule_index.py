@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark import cloudpickle
@@ -46,12 +48,15 @@ def letter_words(corpus: Column) -> Column:
     return F.array_distinct(F.transform(runs, lambda w: F.lower(F.translate(F.upper(w), "İ", "I"))))
 
 
+def folded_ascii(corpus: Column) -> Column:
+    """The text with ASCII letters in lower case, and so whatever else a pattern that ignores case takes for one."""
+    odd = "\u0130\u0131\u017f\u212a"  # the dotted and the dotless i, the long s, the Kelvin sign
+    return F.lower(F.when(reduce(or_, [F.contains(corpus, F.lit(c)) for c in odd]), F.translate(corpus, odd, "iisk")).otherwise(corpus))
+
+
 def plain_words(corpus: Column) -> Column:
     """The runs of letters, digits and ``_`` of a text, each once, folded as a pattern folds ASCII letters."""
-    # the dotted and dotless i, the long s and the Kelvin sign are all that a pattern takes for an ASCII letter besides
-    odd = "\u0130\u0131\u017f\u212a"
-    ascii_forms = F.when(corpus.rlike(f"[{odd}]"), F.translate(corpus, odd, "iisk")).otherwise(corpus)
-    return F.array_distinct(F.regexp_extract_all(F.lower(ascii_forms), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(folded_ascii(corpus), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
 
 
 def _threes(word: Column) -> Column:

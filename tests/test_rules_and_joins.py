@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tagspark.functions import patterns
 from tagspark.operators import aggregates, joins, ranking, rules
 from tagspark.plans import jobs
 from tagspark.streaming import tag_stream
@@ -190,3 +191,15 @@ def test_gated_rules_equal_plain_ones(spark, monkeypatch):
         monkeypatch.setattr(r, "MANY_RULES", many)
         both.append({x.org_id: x.codes for x in r.tag_sets(df, made).collect()})
     assert both[0] == both[1] and any(both[0].values())
+
+
+def test_patterns_are_tried_only_where_what_they_need_stands(spark):
+    assert patterns.needed(r"[\p{L}\p{N}_.]+@[\p{L}\p{N}_.]+") == ["@"] and patterns.needed("licen[cs]e|copyright") == ["copyright", "licen"]
+    assert [patterns.needed(p) for p in (r"a?@?", r"\w+@", r"(@|x)", "[^]a]+@", "stra\u00dfe", r"a{2}@")] == [None] * 6
+    made = [rules.Rule("A", r"(^|[^\p{L}])(kelvin|is)([^\p{L}]|$)", r"[a-z]+@[a-z]+"), rules.Rule("B", r"[\p{L}.]+@[\p{L}]+", "not"), rules.Rule("C", "stra\u00dfe|x"), rules.Rule("D", r"ti\w*ng")]
+    texts = ["\u212aelvin", "\u0130S", "\u0131\u017f a@b", "A@b", "a@b N\u00d6T not", "STRA\u00dfE", "x", "t\u0130 ng TIN\u0130NG", "this", "", None, "@", "ting"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "org_id int, corpus string")
+    got = {r.org_id: r.codes for r in rules.tag_sets(rows, made).collect()}
+    plain = rows.withColumn("codes", rules.matched_codes(F.col("corpus"), made))
+    assert got == {r.org_id: r.codes for r in plain.collect()} and {c for x in got.values() for c in x} == set("ABCD")
+    assert "contains" in rules.tag_sets(rows, made)._jdf.queryExecution().optimizedPlan().toString().lower()
