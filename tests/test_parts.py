@@ -103,6 +103,20 @@ def test_weights_of_lists_are_scaled_without_a_sort_by_record(spark):
     assert not [x for x in re.findall(r"(?:Sort \[|hashpartitioning\()[^\n]*", plan(weights)) if "org_id" in x or re.search(r"\bid#", x)]
 
 
+def test_wanted_weights_are_those_of_all_terms(spark):
+    """Before, scores were handed the lists of all terms, to keep the few with a coefficient."""
+    gaps = spark.createDataFrame([("1", ["a", None, "a", "b"]), ("1", ["c"]), (None, ["a", None]), ("2", []), ("3", None), ("4", ["c", "b"])], "org_id string, t array<string>")
+    n, wanted = spark.createDataFrame([(6,)], "n long"), spark.createDataFrame([("a",), ("c",), ("c",), ("none",), (None,)], "term string")
+    for rows in (lists(spark), gaps, gaps.limit(0)):
+        for least in (1, 2):
+            whole = term_lists.weights_of(term_lists.term_lists(rows, "t", least), n)
+            want = {(r.org_id, r.term): r.weight for r in whole.collect() if r.term in ("a", "c")}
+            made = term_lists.wanted_weights(rows, "t", n, wanted, least)
+            got = {(r.org_id, r.term): r.weight for r in made.collect()}
+            assert got == want and made.count() == len(want)
+    assert "explode" not in plan(term_lists.wanted_weights(gaps, "t", n, wanted)).lower()
+
+
 @pytest.mark.parametrize("given", [False, True])
 def test_scores_of_lists_and_rows_agree(spark, given):
     n = spark.createDataFrame([(6,)], "n long")
