@@ -1,5 +1,7 @@
 """Many fits at once are the fits one by one, and take no more jobs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,19 @@ def test_search_scores_every_seed_and_setting(spark):
     assert len(rows) == 8 and all(r["count"] == 40 for r in rows)
     with pytest.raises(ValueError):
         grid.score_fits(g, [], params.limit(0), [1])
+
+
+def test_a_step_does_not_copy_the_history():
+    width, n = 40_000, 3
+    search = linear._Search(width, 1, np.arange(n), np.full(n, 0.1), np.ones(n, bool), np.full(n, 1e-9))
+    target = np.linspace(-1, 1, n * (width + 1)).reshape(n, -1)
+    peak = 0
+    for _ in range(6):
+        trial = search.trial()
+        sums = np.c_[0.5 * ((trial - target) ** 2 * np.arange(1, n + 1)[:, None]).sum(axis=1), (trial - target) * np.arange(1, n + 1)[:, None]]
+        tracemalloc.start()
+        search.take(trial, search.columns, sums[search.columns])
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert search.took.max() >= 2 and peak < 9 * search.w.nbytes
+    assert linear.BLOCK_BYTES * (2 * linear._HISTORY + 10) < 300 << 20
