@@ -124,3 +124,30 @@ def test_a_step_does_not_copy_the_history():
         tracemalloc.stop()
     assert search.took.max() >= 2 and peak < 9 * search.w.nbytes
     assert linear.BLOCK_BYTES * (2 * linear._HISTORY + 10) < 300 << 20
+
+
+def test_a_stored_model_holds_no_zeros_and_shared_features_once(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(["red red fox", "blue fox", "blue sky", "red sky x1"])], "org_id string, corpus string")
+    s = models.Settings(clean_text=False, min_df=1)
+    features = models.feature_union(models._tokenised(rows.withColumn("_text", F.col("corpus")), "_text", s), s)
+    words = features.stages[0].vocabulary
+    assert models.word_places(features, ["sky", "none", "red", "red"], spark) == {w: words.index(w) for w in ("sky", "red")}
+
+    def model(labels, coefs):
+        coef = np.zeros((len(labels), len(words)))
+        for label, word, w in coefs:
+            coef[labels.index(label), words.index(word)] = w
+        return models.OvrModel(s, features, labels, coef, np.zeros(len(labels)), "margin")
+
+    first = model(["A", "B"], [("A", "red", 2.0), ("B", "blue", 1.0)])
+    made = models.TwoStepModel(first, {"A": model(["A1", "A2"], [("A1", "fox", 1.0), ("A2", "sky", 3.0)])}, {"B": "B1"})
+    made.save(spark, str(tmp_path))
+    kept = spark.read.parquet(f"{tmp_path}/first/labels").orderBy("position").collect()
+    assert [(r["width"], len(r["coef"])) for r in kept] == [(len(words), 1)] * 2
+    assert not (tmp_path / "inside" / "A" / "features").exists()
+    back = models.TwoStepModel.load(spark, str(tmp_path))
+    assert (back.first.coef == first.coef).all() and (back.inside["A"].coef == made.inside["A"].coef).all() and back.inside["A"].features is back.first.features
+    assert sorted(map(tuple, back.predict(rows).collect())) == [("0", "A", "A1"), ("1", "B", "B1"), ("2", "B", "B1"), ("3", "A", "A2")]
+    empty = model(["A", "B"], [])
+    empty.save(spark, f"{tmp_path}/empty")
+    assert (models.OvrModel.load(spark, f"{tmp_path}/empty").coef == empty.coef).all()
