@@ -117,6 +117,31 @@ def test_wanted_weights_are_those_of_all_terms(spark):
     assert "explode" not in plan(term_lists.wanted_weights(gaps, "t", n, wanted)).lower()
 
 
+def test_a_vocabulary_travels_as_a_row_for_each_part_and_share(spark):
+    """Before, each part sent a row for each of its terms, and a window sorted them by term."""
+    texts = [(str(i % 90), f"é{i % 7} w{i} w{i + 1}\u0000x " + "long" * (i % 40)) for i in range(3000)]
+    rows = spark.createDataFrame(texts, "org_id string, text string").select("org_id", F.filter(F.split("text", " "), lambda w: w != "").alias("t"))
+    n, wanted = spark.createDataFrame([(90,)], "n long"), spark.createDataFrame([("é3",), ("w4",), ("longlong",)], "term string")
+    _, own, shares = term_lists._asked(rows, "t", "org_id", None)
+    assert own.count() <= shares * shares and "Window" not in plan(term_lists.wanted_weights(rows, "t", n, wanted))
+    tf = Counter((i, w) for i, t in texts for w in t.split(" ") if w)
+    df = Counter(w for _, w in tf)
+    for between in (None, " "):
+        made = {(r.org_id, t.term): (t.tf, t.df) for r in term_lists.term_lists(rows, "t", 2, between=between).collect() for t in r.terms}
+        assert made == {k: (x, df[k[1]]) for k, x in tf.items() if df[k[1]] >= 2}
+        weights = {(r.org_id, r.term): r.weight for r in term_lists.wanted_weights(rows, "t", n, wanted, 2, between=between).collect()}
+        whole = {(r.org_id, r.term): r.weight for r in term_lists.weights_of(term_lists.term_lists(rows, "t", 2), n).collect()}
+        assert weights == pytest.approx({k: w for k, w in whole.items() if k[1] in ("é3", "w4", "longlong")}) and weights
+
+
+def test_lists_that_travel_as_one_text_keep_gaps(spark):
+    gaps = spark.createDataFrame([("1", ["a", None, "a"]), (None, [None]), ("2", []), ("3", None), ("1", ["b"])], "org_id string, t array<string>")
+    for least, want in ((1, {("1", "a", 2), ("1", "b", 1)}), (2, set())):
+        made = term_lists.term_lists(gaps, "t", least, between=" ").collect()
+        assert {(r.org_id, t.term, t.tf) for r in made for t in r.terms} == want
+    assert term_lists.term_lists(gaps.limit(0), "t", 1, between=" ").collect() == []
+
+
 @pytest.mark.parametrize("given", [False, True])
 def test_scores_of_lists_and_rows_agree(spark, given):
     n = spark.createDataFrame([(6,)], "n long")
