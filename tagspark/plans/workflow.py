@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +81,15 @@ def _approach_evals(
     train: DataFrame, test: DataFrame, rule_list: Sequence[rules.Rule], configs: Mapping[str, models.Settings],
     include_groups: bool = False,
 ) -> dict[str, DataFrame]:
+    # approaches that only read their scores otherwise share a fit, and all fits are one series of jobs
+    families: dict[tuple, dict[tuple, models.Settings]] = {}
+    for s in configs.values():
+        families.setdefault(models.feature_key(s), {}).setdefault(models.training_key(s), s)
+    found = models.train_many({str(i): (grid.with_corpus(train, f[0]), list(fits.values())) for i, (f, fits) in enumerate(families.items())})
+    made = {(f, k): m for (f, fits), own in zip(families.items(), found.values(), strict=True) for k, m in zip(fits, own, strict=True)}
     evals = {}
     for name, s in configs.items():
-        model = models.train_final(grid.with_corpus(train, s.fields), s)
+        model = replace(made[models.feature_key(s), models.training_key(s)], settings=s)
         if name.startswith("hybrid"):
             rows = hybrid_rows(
                 model, test, rule_list, s.hybrid_rule or "label_conf_gated_regex",
